@@ -3,7 +3,9 @@
 Two generative models over hashed unigrams and bigrams (letters and marks are tokens of their own):
 one of target text, the labelled good rows, one of all raw text. An n-gram counts once in a document,
 for words come in bursts. A document's log weight is the sum of log(p_target / p_raw) over its n-grams,
-without those whose ratio is near one, so that long clean documents gather no noise. Documents are drawn without replacement by Gumbel top-k: the k largest of
+without those whose ratio is near one, so that long clean documents gather no noise. How near, and the
+smoothing, are chosen among a few values by how well weights separate labelled rows, each row's own
+counts left out of the models. Documents are drawn without replacement by Gumbel top-k: the k largest of
 sharpness * log weight + Gumbel noise, the noise taken from a hash of the id. k is given, or the number
 of documents whose weight passes the threshold that separates the labelled rows best.
 
@@ -19,6 +21,7 @@ either kind the threshold is -inf and every row is kept. Clashing input columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.llm.arrow import add_columns, column
+from slotwise.llm.arrow import add_columns, column, without
 from slotwise.llm.text import WORD_OR_MARK, blocks, mix, tokens
 from slotwise.session import ship_package, written
 
@@ -68,13 +71,19 @@ def count_ngrams(df: DataFrame, text: str, target: str, bits: tuple[int, int]) -
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, unigrams: int, smoothing: float, least: float) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket with additive smoothing in proportion to the models' sizes; 0 where it is under `least`."""
-    out = np.zeros(len(raw))
+    """Two rows of log(p_target / p_raw) by bucket, 0 where it is under `least`: for rows outside the target, and inside.
+
+    Additive smoothing in proportion to the models' sizes. An n-gram counts once in a row, so the row's own count
+    can be left out of the models exactly; that is what keeps labelled rows comparable with others.
+    """
+    out = np.zeros((2, len(raw)))
+    others = np.maximum(raw - 1, 0)
     for part in (slice(0, unigrams), slice(unigrams, None)):
         share = target[part].sum() / max(1, raw[part].sum())
         if share:
-            ratio = np.log((target[part] + smoothing * share) / (share * (raw[part] + smoothing)))
-            out[part] = np.where(np.abs(ratio) >= least, ratio, 0.0)
+            for k in (0, 1):
+                ratio = np.log((np.maximum(target[part] - k, 0) + smoothing * share) / (share * (others[part] + smoothing)))
+                out[k, part] = np.where(np.abs(ratio) >= least, ratio, 0.0)
     return out
 
 
@@ -85,20 +94,23 @@ def label_sample(labels: DataFrame, max_labels: int, doc_id: str = "doc_id") ->
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
 
 
-def best_threshold(scored: DataFrame, good_weight: float, step: float = 0.25) -> float:
-    """The weight that separates good from other labelled rows best (a share of good rows counts good_weight times), midway between classes; from counts by bins, at most one row each."""
-    bins = scored.where("good is not null").groupBy(F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(250.0)), F.lit(-250.0)) / step).alias("b")).agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("o")).orderBy("b").collect()
-    good, other = sum(r["g"] for r in bins), sum(r["o"] for r in bins)
+def best_threshold(bins: list[tuple[int, int, int]], good_weight: float, step: float) -> tuple[float, float]:
+    """(value, threshold) from (bin, good rows, other rows) in order: the threshold that separates them best, midway between bins.
+
+    The value is good_weight times the share of good rows that pass, and the share of others that don't.
+    """
+    good, other = sum(g for _, g, _ in bins), sum(o for _, _, o in bins)
     if not good or not other:
-        return float("-inf")
-    best, low, high = -1.0, bins[0]["b"], bins[0]["b"]
+        return 0.0, float("-inf")
+    best, threshold = -1.0, float("-inf")
     passed_good = passed_other = 0
-    for r in bins:  # threshold just under this bin
+    last = None
+    for b, g, o in bins:  # threshold just under this bin
         value = good_weight * (good - passed_good) / good + passed_other / other
         if value > best + 1e-12:
-            best, low, high = value, last + 1 if passed_good + passed_other else r["b"], r["b"]
-        passed_good, passed_other, last = passed_good + r["g"], passed_other + r["o"], r["b"]
-    return (low + high) / 2 * step
+            best, threshold = value, (b if last is None else (last + 1 + b) / 2) * step
+        passed_good, passed_other, last = passed_good + g, passed_other + o, b
+    return best, threshold
 
 
 def kth_largest(keys: DataFrame, k: int) -> tuple[float, float]:
@@ -120,36 +132,95 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, float]:
     return lo, hi
 
 
-def resample(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, bits: tuple[int, int] = (18, 16), smoothing: float = 10.0, least_ratio: float = 2.0, good_weight: float = 6.0, sharpness: float = 4.0, max_labels: int = 20_000, seed: int = 1) -> DataFrame:
-    """One row for each of df: doc_id, log_weight, gumbel_key and kept. It is written to the shared folder first."""
-    sample = F.broadcast(label_sample(labels, max_labels))  # at most max_labels rows
-    joined = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(sample, "doc_id", "left")
+def _unit(seed: int, doc_id: str = "doc_id") -> F.Column:
+    return (F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def _key(weight: F.Column, sharpness: float, seed: int, doc_id: str = "doc_id") -> F.Column:
+    """sharpness * log weight + Gumbel noise."""
+    return weight * sharpness - F.log(-F.log(_unit(seed, doc_id)))
+
+
+def _weights(df: DataFrame, tables, bits: tuple[int, int], text: str, name: str, keep: list[str], good: str) -> DataFrame:
+    """df's columns `keep` and the list of each row's log weights under that name, one for each of the broadcast tables."""
+
+    def weigh(batch: pa.RecordBatch) -> list:
+        of = tables.value
+        inside = np.array([bool(x) for x in column(batch, good).to_pylist()], np.int64)
+        out = np.zeros((batch.num_rows, len(of)))
+        for lo, hi, data, offsets in blocks(column(batch, text)):
+            bucket, row = ngrams(data, offsets, bits)
+            side = inside[lo:hi][row]
+            for i, t in enumerate(of):
+                out[lo:hi, i] = np.bincount(row, t[side, bucket], hi - lo)
+        return [list(np.round(out, 6))]
+
+    return add_columns(df, weigh, [T.StructField(name, T.ArrayType(T.DoubleType()))], keep, [text, good])
+
+
+@dataclass
+class Draw:
+    """Fitted models and the draw made with them: scored rows (doc_id, log_weight, key), k, and the last key and id drawn."""
+
+    scored: DataFrame
+    tables: object
+    sample: DataFrame
+    k: int
+    last: tuple | None
+
+    def drawn(self, key: F.Column, doc_id: F.Column) -> F.Column:
+        if self.last is None:
+            return F.lit(False)
+        last = F.struct(F.lit(-self.last[0]).alias("a"), F.lit(self.last[1]).cast(self.scored.schema["doc_id"].dataType).alias("b"))
+        return F.struct((-key).alias("a"), doc_id.alias("b")) <= last
+
+
+def draw(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, bits: tuple[int, int] = (18, 16), smoothing: tuple[float, ...] = (1.0, 3.0, 10.0), least_ratio: tuple[float, ...] = (1.0, 1.5, 2.0), good_weight: float = 6.0, sharpness: float = 4.0, max_labels: int = 20_000, seed: int = 1, step: float = 0.25) -> Draw:
+    """smoothing and least_ratio: choices, of which the pair that separates the labelled rows best is taken."""
+    spark = df.sparkSession
+    sample = written(label_sample(labels, max_labels), "labelled")  # at most max_labels rows
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    joined = rows.join(F.broadcast(sample), "doc_id", "left")
     size = (1 << bits[0]) + (1 << bits[1])
     raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     counts = count_ngrams(joined, "text", "good", bits).toArrow()  # at most one row a bucket
     at = counts["bucket"].to_numpy()
     raw[at], target[at] = counts["raw"].to_numpy(), counts["target"].to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(log_ratios(raw, target, 1 << bits[0], smoothing, least_ratio))
-
-    def weigh(batch: pa.RecordBatch) -> list:
-        table = sent.value
-        out = np.zeros(batch.num_rows)
-        for lo, hi, data, offsets in blocks(column(batch, "text")):
-            bucket, row = ngrams(data, offsets, bits)
-            out[lo:hi] = np.bincount(row, table[bucket], hi - lo)
-        return [pa.array(np.round(out, 6))]
-
-    scored = add_columns(joined, weigh, [T.StructField("log_weight", T.DoubleType())], ["doc_id", "good"], ["text"])
-    unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = written(scored.withColumn("key", F.col("log_weight") * sharpness - F.log(-F.log(unit))), "weights")
+    choices = [log_ratios(raw, target, 1 << bits[0], x, y) for x in smoothing for y in least_ratio]
+
+    labelled = _weights(rows.join(F.broadcast(sample), "doc_id"), spark.sparkContext.broadcast(choices), bits, "text", "w", ["good"], "good")
+    binned = labelled.select("good", F.posexplode("w").alias("choice", "w")).groupBy("choice", F.floor(F.greatest(F.least("w", F.lit(250.0)), F.lit(-250.0)) / step).alias("b"))
+    found: dict[int, list] = {}
+    for r in binned.agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("o")).orderBy("choice", "b").collect():  # at most 2001 bins a choice
+        found.setdefault(r["choice"], []).append((r["b"], r["g"], r["o"]))
+    value, threshold, choice = max(((*best_threshold(bins, good_weight, step), -c) for c, bins in found.items()), key=lambda x: (x[0], x[2]), default=(0.0, float("-inf"), 0))
+
+    tables = spark.sparkContext.broadcast([choices[-choice]])
+    scored = _weights(joined, tables, bits, "text", "w", ["doc_id"], "good").select("doc_id", F.col("w")[0].alias("log_weight"))
+    scored = written(scored.withColumn("key", _key(F.col("log_weight"), sharpness, seed)), "weights")
     if k is None:
-        k = scored.where(F.col("log_weight") >= best_threshold(scored, good_weight)).count()
-    result = scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), "key")
-    if k <= 0 or scored.isEmpty():
-        return result.select("doc_id", "log_weight", "gumbel_key", F.lit(False).alias("kept"))
+        k = scored.where(F.col("log_weight") >= threshold).count()
+    k = min(k, scored.count())
+    if k <= 0:
+        return Draw(scored, tables, sample, 0, None)
     lo, hi = kth_largest(scored, k)
     sure = scored.where(F.col("key") > hi).count()
-    edge = scored.where(F.col("key").between(lo, hi)).orderBy(F.desc("key"), "doc_id").limit(max(0, k - sure)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.min("_key").alias("_key"), F.max_by("_id", F.struct(-F.col("_key"), F.col("_id"))).alias("_id")).first()
-    last = F.struct(F.lit(-edge["_key"]).alias("a"), F.lit(edge["_id"]).cast(scored.schema["doc_id"].dataType).alias("b"))
-    kept = F.struct(-F.col("key").alias("a"), F.col("doc_id").alias("b")) <= last
-    return result.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"))
+    edge = scored.where(F.col("key").between(lo, hi)).orderBy(F.desc("key"), "doc_id").limit(max(0, k - sure)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    last = edge.orderBy("_key", F.desc("_id")).first()
+    return Draw(scored, tables, sample, k, (last["_key"], last["_id"]))
+
+
+def resample(df: DataFrame, labels: DataFrame, **settings: object) -> DataFrame:
+    """One row for each of df: doc_id, log_weight, gumbel_key and kept. It is written to the shared folder first."""
+    made = draw(df, labels, **settings)
+    return made.scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), made.drawn(F.col("key"), F.col("doc_id")).alias("kept"))
+
+
+def resampled_rows(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: tuple[int, int] = (18, 16), sharpness: float = 4.0, seed: int = 1, **settings: object) -> DataFrame:
+    """The drawn rows of df with all their columns; weights are computed again in the scan, which shuffles no text."""
+    made = draw(df, labels, text, doc_id, bits=bits, sharpness=sharpness, seed=seed, **settings)
+    mine = made.sample.select(F.col("doc_id").alias("_labelled"), F.col("good").alias("_good"))
+    joined = without(df, ["_labelled", "_good", "_log_weight"]).join(F.broadcast(mine), F.col(f"`{doc_id}`") == F.col("_labelled"), "left")
+    names = [c for c in joined.columns if c not in ("_labelled", "_good")]
+    weighed = _weights(joined, made.tables, bits, text, "_log_weight", names, "_good")
+    return weighed.where(made.drawn(_key(F.col("_log_weight")[0], sharpness, seed, doc_id), F.col(f"`{doc_id}`"))).select(*[F.col(f"`{c}`") for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import chat, decontaminate, importance, licenses, packing, repetition, warc
+from slotwise.llm import chat, decontaminate, importance, licenses, line_dedup, ngram_join, packing, repetition, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(messages))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "lines_removed", "lines_left")
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -44,6 +49,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def document_paths(documents: DataFrame) -> DataFrame:
     """documents as files: source/thousands/fifties/id.txt."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), F.concat(F.col("doc_id"), F.lit(".txt")))
@@ -55,10 +64,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(own, file_coverage=0.1)
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_chat_format, op4_repetition_rules, op5_best_fit_packing, op6_warc_index, op8_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_chat_format, op3_line_dedup, op4_repetition_rules, op5_best_fit_packing, op6_warc_index, op7_ngram_jaccard, op8_license_scan, op9_wrapper_induction, op10_decontaminate)}
 ORACLE: dict[str, str] = {}
