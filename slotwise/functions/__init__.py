@@ -1 +1 @@
-"""Part of slotwise."""
+"""Scalar expressions shared by the operators."""
