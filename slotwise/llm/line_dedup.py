@@ -6,8 +6,8 @@ earlier line need not stay itself, so the result does not depend on the order of
 
 Near lines: each distinct line is split into tau + 1 segments, of which tau edits leave one whole. Its
 segments are indexed by length, number and content; the same line probes, for its own and up to tau
-shorter lengths, the substrings that multi-match-aware selection leaves for each segment. Counts of
-eight letters, modulo 16, prune meetings inside the join. Candidates are verified by a banded
+shorter lengths, the substrings that multi-match-aware selection leaves for each segment. Lengths and
+counts of seven letters, modulo 16, prune meetings inside the join. Candidates are verified by a banded
 bit-parallel automaton: a bit for each diagonal within tau of the main one, a register for each number
 of errors.
 
@@ -28,54 +28,60 @@ from pyspark.sql import functions as F
 from slotwise.llm.arrow import without
 from slotwise.session import written
 
-_COUNTED = "etaoinr "
+_COUNTED = "etaonri"  # letters whose counts prune
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line: even parts, the longer ones last."""
-    base, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-    return (base * i + extra + 1).cast("int"), (base + (F.lit(i) >= parts - longer).cast("int")).cast("int")
+def _segments(tau: int, shorter: int) -> dict[str, Column]:
+    """Columns s<gap>_<i>, z<gap>_<i>: start (from 1) and size of segment i of a line `gap` shorter than n; even parts, the longer ones last.
+
+    Columns of their own keep the code of the keys small enough to be compiled.
+    """
+    parts = tau + 1
+    out = {}
+    for gap in range(shorter + 1):
+        base, longer = F.expr(f"cast((n - {gap}) div {parts} as int)"), F.expr(f"cast((n - {gap}) % {parts} as int)")
+        for i in range(parts):
+            extra = F.greatest(F.lit(0), longer + (i - parts))
+            out[f"s{gap}_{i}"] = base * i + extra + 1
+            out[f"z{gap}_{i}"] = base + F.when(longer >= parts - i, 1).otherwise(0)
+    return out
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, start, size), length.cast("int"), F.lit(i))
+def _key(gap: int, i: int, shift: int) -> Column:
+    return F.xxhash64(F.substring(F.col("line"), F.col(f"s{gap}_{i}") + shift, F.col(f"z{gap}_{i}")), F.col("n") - gap, F.lit(i))
 
 
-def index_keys(line: Column, tau: int) -> list[Column]:
-    length = F.char_length(line)
-    return [_key(line, *_segment(length, i, tau + 1), length, i) for i in range(tau + 1)]
+def index_keys(tau: int) -> list[Column]:
+    return [_key(0, i, 0) for i in range(tau + 1)]
 
 
-def probe_keys(line: Column, tau: int, least: int) -> list[Column]:
+def probe_keys(tau: int, least: int) -> list[Column]:
     """Keys under which lines of the same length or up to tau shorter can be found."""
-    length = F.char_length(line)
     out = []
     for gap in range(tau + 1):
-        other = length - gap
         for i in range(tau + 1):
-            start, size = _segment(other, i, tau + 1)
             # edits left of the segment are at most i, edits right of it at most tau - i
             for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1):
-                at = start + shift
-                out.append(F.when((at >= 1) & (at + size - 1 <= length) & (other >= least), _key(line, at, size, other, i)))
+                key = _key(gap, i, shift)
+                out.append(F.when(F.col("n") >= least + gap, key) if gap else key)
     return out
 
 
-def _letters(line: Column) -> Column:
-    lower = F.lower(line)
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(_COUNTED):
-        packed = packed + F.shiftleft(((F.char_length(lower) - F.char_length(F.replace(lower, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * k)
+def _letters(line: Column, length: Column) -> Column:
+    """The length and the counts of a few letters, modulo 16, in four bits each."""
+    packed = F.pmod(length, F.lit(16)).cast("long")
+    for k, c in enumerate(_COUNTED, 1):
+        packed = packed + F.shiftleft(((F.size(F.split(line, c, -1)) - 1) % 16).cast("long"), 4 * k)
     return packed
 
 
-def _letters_apart(a: Column, b: Column) -> Column:
+def _may_be_near(a: Column, b: Column, tau: int) -> Column:
+    """An edit changes the length or two counts of letters: counts differ by at most 2 tau less the gap of lengths."""
     total = F.lit(0)
-    for k in range(len(_COUNTED)):
+    for k in range(len(_COUNTED) + 1):
         d = F.pmod(F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k), F.lit(16))
         total = total + F.least(d, 16 - d)
-    return total
+    return total <= 2 * tau
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
@@ -126,14 +132,15 @@ def repeated_lines(lines: DataFrame, least: int) -> DataFrame:
 
 def near_pairs(distinct: DataFrame, tau: int, least: int) -> DataFrame:
     """Candidate pairs of distinct lines: a_doc, a_pos (earlier), b_doc, b_pos."""
-    long = distinct.where(F.char_length("line") >= least)
-    info = (F.shiftleft(F.col("pos").cast("long"), 4 * len(_COUNTED)) + _letters(F.col("line"))).alias("info")
-    line = F.col("line")
-    index = long.select("doc", info, F.explode(F.array(*index_keys(line, tau))).alias("key"))
-    probe = long.select(F.col("doc").alias("p_doc"), info.alias("p_info"), F.explode(F.array(*probe_keys(line, tau, least))).alias("p_key")).where("p_key is not null")
+    width = 4 * (len(_COUNTED) + 1)
+    info = F.shiftleft(F.col("pos").cast("long"), width) + _letters(F.col("line"), F.col("n"))
+    # lengths and letters are taken once a line, below the generators; explode would also test the keys for being there
+    long = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= least).select("doc", info.alias("info"), "line", "n")
+    index = long.withColumns(_segments(tau, 0)).select("doc", "info", F.explode_outer(F.array(*index_keys(tau))).alias("key"))
+    probe = long.withColumns(_segments(tau, tau)).select(F.col("doc").alias("p_doc"), F.col("info").alias("p_info"), F.explode_outer(F.array(*probe_keys(tau, least))).alias("p_key")).where("p_key is not null")
     same = F.col("doc").eqNullSafe(F.col("p_doc")) & (F.col("info") == F.col("p_info"))
-    met = probe.join(index, (F.col("p_key") == F.col("key")) & ~same & (_letters_apart(F.col("info"), F.col("p_info")) <= 2 * tau))
-    pos = lambda c: F.shiftright(F.col(c), 4 * len(_COUNTED)).cast("int")
+    met = probe.join(index, (F.col("p_key") == F.col("key")) & ~same & _may_be_near(F.col("info"), F.col("p_info"), tau))
+    pos = lambda c: F.shiftright(F.col(c), width).cast("int")
     x, y = F.struct(F.col("doc").alias("doc"), pos("info").alias("pos")), F.struct(F.col("p_doc").alias("doc"), pos("p_info").alias("pos"))
     pairs = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     return pairs.select(F.col("a.doc").alias("a_doc"), F.col("a.pos").alias("a_pos"), F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos"))
