@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import chat, decontaminate, importance, licenses, line_dedup, ngram_join, packing, repetition, warc, wrapper
+from slotwise.llm import chat, decontaminate, importance, licenses, line_dedup, ngram_join, oracles, packing, repetition, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("longest_repeat")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def document_paths(documents: DataFrame) -> DataFrame:
@@ -74,4 +74,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_chat_format, op3_line_dedup, op4_repetition_rules, op5_best_fit_packing, op6_warc_index, op7_ngram_jaccard, op8_license_scan, op9_wrapper_induction, op10_decontaminate)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_chat_format": oracles.CHAT, "op4_repetition_rules": oracles.REPETITION, "op6_warc_index": oracles.WARC, "op7_ngram_jaccard": oracles.JACCARD, "op10_decontaminate": oracles.BENCHMARK}
