@@ -186,12 +186,12 @@ def pooled_gbt_member(spark, sf_dir):
 _GRAM = [("n", "CAST(count(*) AS DOUBLE)"), ("sxx_v_v", "sum(v * v)"), ("sxx_v_l", "sum(v * l)"), ("sxx_l_l", "sum(l * l)"), ("sxy_v", "sum(v * y)"), ("sxy_l", "sum(l * y)")]
 
 
-@query(f"WITH {GRID}, x AS (SELECT series, b, v, coalesce(lag(v, 1) OVER ({W}), 0) AS l, lead(raw, 1) OVER ({W}) AS y FROM panel) SELECT series, {', '.join(f'{r(e, 2)} AS {n}' for n, e in _GRAM)} FROM x WHERE y IS NOT NULL AND b < TIMESTAMP '{CUTOFF}' GROUP BY 1")
+@query(f"WITH {GRID}, x AS (SELECT series, b, v, coalesce(lag(v, 1) OVER ({W}), 0) AS l, lead(raw, 1) OVER ({W}) AS y FROM panel) SELECT series, {', '.join(f'{r(e, 4)} AS {n}' for n, e in _GRAM)} FROM x WHERE y IS NOT NULL AND b < TIMESTAMP '{CUTOFF}' GROUP BY 1")
 def efficiency_gram(spark, sf_dir):
     x = features.labels(features.lags(panel(spark, sf_dir), [1]), [1]).where((F.col("b") < at(CUTOFF)) & F.col("y").isNotNull())
     g = members.gram(x, ["series"], ["v", "lag_1"], "y")
     picks = {"n": 0, "sxx_v_v": 5, "sxx_v_l": 6, "sxx_l_l": 7, "sxy_v": 8, "sxy_l": 9}
-    return rounded(g.select("series", *[F.col("sums")[i].alias(n) for n, i in picks.items()]), 2)
+    return rounded(g.select("series", *[F.col("sums")[i].alias(n) for n, i in picks.items()]), 4)
 
 
 @query(None)
@@ -351,10 +351,10 @@ def tariff_lookup(spark, sf_dir):
     return rounded(x.select("b", "month", "slot", "price"))
 
 
-@query(f"WITH {GRID} SELECT series, {r(f'sum(v * ({_PRICE}))', 3)} AS revenue, {r(f'sum(v) * avg({_PRICE})', 3)} AS flat_revenue FROM panel GROUP BY 1")
+@query(f"WITH {GRID} SELECT series, {r(f'sum(v * ({_PRICE}))', 4)} AS revenue, {r(f'sum(v) * avg({_PRICE})', 4)} AS flat_revenue FROM panel GROUP BY 1")
 def tariff_revenue(spark, sf_dir):
     x = dispatch.with_price(panel(spark, sf_dir), dispatch.price_table(_prices(spark)))
-    return rounded(x.groupBy("series").agg(F.sum(F.col("v") * F.col("price")).alias("revenue"), (F.sum("v") * F.avg("price")).alias("flat_revenue")), 3)
+    return rounded(x.groupBy("series").agg(F.sum(F.col("v") * F.col("price")).alias("revenue"), (F.sum("v") * F.avg("price")).alias("flat_revenue")), 4)
 
 
 @query(f"WITH {GRID} SELECT b, CASE WHEN hour(b) BETWEEN 8 AND 11 OR hour(b) BETWEEN 18 AND 21 THEN 1.30 WHEN hour(b) < 7 OR hour(b) >= 23 THEN 0.38 ELSE 0.85 END::DOUBLE AS price FROM slots")
