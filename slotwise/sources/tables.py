@@ -36,6 +36,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, in the first encoding that fits; a byte order mark is taken off the header."""
     for encoding in ENCODINGS[1:]:
         if _decodes(spark, path, encoding):
+            if encoding == "gb18030":  # beyond the charsets that Spark allows by default
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
             df = spark.read.csv(path, header=True, encoding={"gb18030": "GB18030"}.get(encoding, encoding))
             return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     raise ValueError(f"{path}: none of {', '.join(ENCODINGS)} fits")
