@@ -85,30 +85,35 @@ def _may_be_near(a: Column, b: Column, tau: int) -> Column:
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
-    """Whether the edit distance of two strings is at most tau: automaton registers r[e], one bit for each diagonal."""
+    """Whether the edit distance of two strings is at most tau: automaton registers r[e], one bit for each diagonal.
+
+    The matches of a column's character along the band are found once a column, before the automaton runs.
+    """
     mask = (1 << (2 * tau + 1)) - 1
-    p, t = F.split(a, ""), F.split(b, "")
     rows, cols = F.char_length(a), F.char_length(b)
     names = [f"r{e}" for e in range(tau + 1)]
-    start = [(1 << (tau + e + 1)) - (1 << tau) for e in range(tau + 1)]  # deletions before any column
-    state = F.struct(*[F.lit(x).alias(n) for x, n in zip(start, names, strict=True)], p.alias("p"), t.alias("t"))
-
-    def step(s: Column, j: Column) -> Column:
-        char = F.get(s["t"], j)
-        match = F.lit(0)
-        for b_ in range(2 * tau + 1):
-            at = j + (b_ - tau)
-            match = match + F.when((at >= 0) & (F.get(s["p"], at) == char), F.lit(1 << b_)).otherwise(0)
+    start = F.struct(*[F.lit((1 << (tau + e + 1)) - (1 << tau)).alias(n) for e, n in enumerate(names)])  # deletions before any column
+
+    def match(chars: Column, j: Column, char: Column) -> Column:
+        near = [F.when((j + (k - tau) >= 0) & (F.get(chars, j + (k - tau)) == char), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * tau + 1)]
+        return sum(near[1:], near[0])
+
+    def step(s: Column, m: Column) -> Column:
         new: list[Column] = []
         for e, n in enumerate(names):
-            r = s[n].bitwiseAND(match)
+            r = s[n].bitwiseAND(m)
             if e:
                 before = s[names[e - 1]]
                 r = r.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(mask))
             new.append(r)
-        return F.struct(*[x.alias(n) for x, n in zip(new, names, strict=True)], s["p"].alias("p"), s["t"].alias("t"))
+        return F.struct(*[x.alias(n) for x, n in zip(new, names, strict=True)])
+
+    def run(s: Column) -> Column:
+        matches = F.transform(s["t"], lambda char, j: match(s["p"], j, char))
+        return F.aggregate(matches, start, step, lambda r: r[names[-1]])
 
-    final = F.aggregate(F.sequence(F.lit(0), cols - 1), state, step, lambda s: s[names[-1]])
+    # the lambda binds the split strings, which would else be split again for every character
+    final = F.transform(F.array(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t"))), run)[0]
     goal = F.lit(tau) + rows - cols
     return F.when(F.abs(rows - cols) > tau, F.lit(False)).when(cols == 0, rows <= tau).otherwise(F.call_function("shiftright", final, goal).bitwiseAND(F.lit(1)) == 1)
 
