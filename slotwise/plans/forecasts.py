@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import time as t
-from slotwise.operators import blend, dispatch, features, members, quality, validate
+from slotwise.operators import blend, contracts, dispatch, features, members, validate
 from slotwise.plans.catalogue import AHEAD, CUTOFF, EMA, GRID, RANGE, SLOT, W, _ahead, at, observations, panel, query, r, rounded, table
 from slotwise.session import scratch_path, ship_package, written
 
@@ -447,3 +447,68 @@ def stream_calibration(spark, sf_dir):
     running = online.calibrated_stream(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema("series string, h int, b timestamp, p double").parquet(path).select("series", "h", F.col("b").cast("timestamp_ntz").alias("b"), "p")
+
+
+# -- contracts --
+
+
+@query(f"WITH {GRID} SELECT series, b, raw, CASE WHEN b <= TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS part FROM grid")
+def union_cut(spark, sf_dir):
+    p = panel(spark, sf_dir).select("series", "b", "raw")
+    return contracts.combine(p, p, ["series", "b"], at(CUTOFF))
+
+
+@query(f"WITH {GRID}, x AS (SELECT series, b, v, row_number() OVER ({W}) AS n FROM panel) SELECT series, b, v FROM x WHERE n % 7 = 1")
+def stride_sample(spark, sf_dir):
+    return contracts.every_nth(panel(spark, sf_dir), ["series"], "b", 7).select("series", "b", "v")
+
+
+@query(f"WITH {GRID}, x AS (SELECT series, b, v, row_number() OVER (PARTITION BY series ORDER BY b DESC) AS n FROM panel) SELECT series, b, v FROM x WHERE n <= 200")
+def latest_rows(spark, sf_dir):
+    return contracts.latest(panel(spark, sf_dir), ["series"], "b", 200).select("series", "b", "v")
+
+
+@query(f"WITH {GRID}, {AHEAD(STEPS)} SELECT series, count(*) AS n_rows, 0::BIGINT AS n_repeated, count(*) FILTER (v IS NULL) AS n_missing, 0::BIGINT AS n_not_finite, count(*) FILTER (v < 0) AS n_negative, 0::BIGINT AS n_other_steps, count(DISTINCT b) AS n_origins, count(*) = 192 * 4 AND count(DISTINCT b) = 192 AS passed FROM labelled GROUP BY 1")
+def contract_check(spark, sf_dir):
+    return contracts.check_predictions(member_table(spark, sf_dir, only=("persistence",)), list(STEPS), 192)
+
+
+@query(f"{_ALL}, g AS (SELECT series, h, avg(ape) AS m FROM scored WHERE member = 'persistence' GROUP BY 1, 2) SELECT series, h, {r('m')} AS own_mape, {r('round(m, 6)')} AS recorded_mape, true AS agrees FROM g")
+def rescoring(spark, sf_dir):
+    x = member_table(spark, sf_dir, only=("persistence",))
+    return rounded(contracts.rescore(x, rounded(validate.error_by(x, ["series", "h"])), ["series", "h"]))
+
+
+@query(f"{_ALL}, g AS (SELECT series, h, CAST(b AS DATE) AS cutoff, member, avg(ape) AS e FROM scored WHERE member IN ('persistence', 'ema_4', 'ema_16') GROUP BY 1, 2, 3, 4), o AS (SELECT *, (sum(e) OVER p - e) / nullif(count(e) OVER p - 1, 0) AS others FROM g WINDOW p AS (PARTITION BY series, h, member)), k AS (SELECT *, row_number() OVER (PARTITION BY series, h, cutoff ORDER BY others, member) AS n FROM o) SELECT series, h, cutoff, member, {r('e')} AS left_out_error FROM k WHERE n = 1")
+def leave_cutoff_out(spark, sf_dir):
+    x = member_table(spark, sf_dir, only=("persistence", "averages")).withColumn("cutoff", F.to_date("b"))
+    e = validate.error_by(x, ["series", "h", "cutoff", "member"], strict=False)
+    return rounded(contracts.shrink_select(e, ["series", "h"], "member", "mape"))
+
+
+_WIDE = ", ".join(f"max(p) FILTER (member = '{n}') AS {n}" for n in _NAMES)
+_MEAN = "(" + " + ".join(f"coalesce({n}, 0)" for n in _NAMES) + f") / {len(_NAMES)}"
+_SPREAD = f"greatest({', '.join(_NAMES)}) - least({', '.join(_NAMES)})"
+
+
+@query(f"{_ALL}, w AS (SELECT series, b, h, {_WIDE} FROM scored GROUP BY 1, 2, 3) SELECT series, b, h, {r(_MEAN)} AS member_mean, {r(_SPREAD)} AS member_spread, {SLOT('b')} AS slot FROM w")
+def stacking_features(spark, sf_dir):
+    x = contracts.stack_rows(member_table(spark, sf_dir), _NAMES)
+    return rounded(x.select("series", "b", "h", "member_mean", "member_spread", "slot"))
+
+
+@query(None)
+def stacked_member(spark, sf_dir):
+    """A booster over members' forecasts, fitted on the first origin day's matured labels, for the second day."""
+    x = contracts.stack_rows(member_table(spark, sf_dir, (8,)), _NAMES).withColumn("residual", F.col("y") - F.col("member_mean"))
+    train = x.where((F.col("b") <= at("2024-01-28 21:45:00")) & F.col("y").isNotNull())
+    test = x.where((F.col("b") >= at("2024-01-29 00:00:00")) & F.col("y").isNotNull())
+    done = members.boosted(train, test, [*_NAMES, "member_spread", "slot"], "residual", trees=5)
+    return done.select("series", "b", "h", F.lit("stacked").alias("member"), (F.col("member_mean") + F.col("p")).alias("p"))
+
+
+@query(None)
+def rubric_score(spark, sf_dir):
+    x = member_table(spark, sf_dir, only=("persistence",))
+    mape = validate.macro_error(x, ["member"], ["series", "h"]).first()["macro_mape"]
+    return contracts.rubric(contracts.check_predictions(x, list(STEPS), 192), F.lit(mape))

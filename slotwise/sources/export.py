@@ -107,3 +107,8 @@ def cached(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     if not to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(to):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_bank(predictions: DataFrame, path: str) -> None:
+    """Member predictions as gzip JSON lines, as tables.read_bank reads them."""
+    predictions.select("series", "b", "h", "member", "p").write.json(path, compression="gzip")

@@ -135,3 +135,16 @@ def read_origins(spark: SparkSession, path: str) -> DataFrame:
 def read_bank(spark: SparkSession, path: str) -> DataFrame:
     """Member predictions in JSON lines, gzip or not: series, b, h, member, p."""
     return spark.read.schema("series string, b timestamp_ntz, h int, member string, p double").json(path)
+
+
+def find_dataset(spark: SparkSession, root: str, name: str = "Pre_load.csv") -> str:
+    """The only folder below root that holds a file of this name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path").collect()
+    if len(files) != 1:
+        raise ValueError(f"{len(files)} files named {name} below {root}")
+    return files[0]["path"].rsplit("/", 1)[0]
+
+
+def schema_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names alone; no row is read."""
+    return (spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)).columns
