@@ -143,8 +143,9 @@ def near_pairs(distinct: DataFrame, tau: int, least: int) -> DataFrame:
     long = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= least).select("doc", info.alias("info"), "line", "n")
     index = long.withColumns(_segments(tau, 0)).select("doc", "info", F.explode_outer(F.array(*index_keys(tau))).alias("key"))
     probe = long.withColumns(_segments(tau, tau)).select(F.col("doc").alias("p_doc"), F.col("info").alias("p_info"), F.explode_outer(F.array(*probe_keys(tau, least))).alias("p_key")).where("p_key is not null")
-    same = F.col("doc").eqNullSafe(F.col("p_doc")) & (F.col("info") == F.col("p_info"))
-    met = probe.join(index, (F.col("p_key") == F.col("key")) & ~same & _may_be_near(F.col("info"), F.col("p_info"), tau))
+    # two lines of one length would find each other twice, and a line itself: there only the later one counts as probe
+    one_way = (F.pmod("info", F.lit(16)) != F.pmod("p_info", F.lit(16))) | (F.struct("p_doc", "p_info") > F.struct(F.col("doc").alias("p_doc"), F.col("info").alias("p_info")))
+    met = probe.join(index, (F.col("p_key") == F.col("key")) & one_way & _may_be_near(F.col("info"), F.col("p_info"), tau))
     pos = lambda c: F.shiftright(F.col(c), width).cast("int")
     x, y = F.struct(F.col("doc").alias("doc"), pos("info").alias("pos")), F.struct(F.col("p_doc").alias("doc"), pos("p_info").alias("pos"))
     pairs = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
