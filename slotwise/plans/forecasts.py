@@ -41,7 +41,7 @@ _ALL = f"{_A}, {_RECENT}, {_PROFILE}, {_AR}, {_EMAS}, every AS ({' UNION ALL '.j
 
 def member_table(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = STEPS, only: tuple[str, ...] | None = None) -> DataFrame:
     """series, b, h, member, p, y of the members that need no fit."""
-    p = with_averages(panel(spark, sf_dir))
+    p = written(with_averages(panel(spark, sf_dir)), "panel")  # events are read and summed once, not once a member
     ahead = _ahead(p, list(steps))
     levels = members.profile(p, t.shift(at(CUTOFF), -7 * 96), at(CUTOFF))
     make = {
@@ -124,7 +124,7 @@ def weighted_median_drift(spark, sf_dir):
 
 
 def _training(spark, sf_dir, steps=(1, 8)) -> DataFrame:
-    p = features.lags(features.rolling(panel(spark, sf_dir), 8), [1, 4, 96], fill="current")
+    p = written(features.lags(features.rolling(panel(spark, sf_dir), 8), [1, 4, 96], fill="current"), "training")
     return features.labels(p, list(steps))
 
 
