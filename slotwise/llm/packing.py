@@ -5,9 +5,9 @@ there are: it goes to the driver, is packed there by bin completion, and comes b
 slots per length. Each piece finds its slot by its rank among pieces of its length; ranks come from
 counts per (length, bucket), so no task holds a whole group of equal lengths.
 
-Bin completion: around the largest length left, fillings that no other filling dominates are
-enumerated by branch-and-bound (best-fit first as incumbent, pruned by the waste a branch can still
-beat), the chosen filling is repeated as often as its lengths allow, and the search goes on.
+Bin completion: around the largest length left, fillings are enumerated by branch-and-bound (best-fit
+first as incumbent, pruned by the waste a branch can still beat), a step for each length however many
+pieces of it are taken; the chosen filling is repeated as often as its lengths allow and not taken back.
 
 Null text is empty and gives the end id alone. Equal rows get sequences of their own places.
 An empty table gives no rows.
@@ -98,37 +98,31 @@ def best_filling(counts: dict[int, int], sizes: list[int], largest: int, room: i
     best: tuple[int, ...] = ()
     least = room
     left = nodes
-    smallest = sizes[0] if sizes else room + 1
-    below = list(itertools.accumulate((s * counts[s] for s in sizes), initial=0))
-
-    def search(chosen: list[int], free: int, top: int, used: dict[int, int]) -> bool:
-        nonlocal best, least, left
-        if free < least or not best and chosen:
-            best, least = tuple(chosen), free
-            if not least:
-                return True
-        for k in range(bisect.bisect_right(sizes, min(free, top)) - 1, -1, -1):
+    available = [counts[s] - (s == largest) for s in sizes]
+    below = list(itertools.accumulate((s * n for s, n in zip(sizes, available, strict=True)), initial=0))
+    chosen: list[list[int]] = []  # place of a length in sizes and its pieces, a step each however many pieces
+    free, k = room, len(sizes) - 1
+    while True:
+        k = min(k, bisect.bisect_right(sizes, free) - 1)
+        # below: all that lengths up to this one can still fill, as none of their pieces is taken
+        if k >= 0 and left > 0 and free - min(free, below[k + 1]) < least:
             left -= 1
-            if left < 0:
-                return True
-            s = sizes[k]
-            # all that lengths up to s can still fill; the rest of this loop can fill no more
-            reach = below[k + 1] - sum(z * n for z, n in used.items() if z <= s)
-            if free - min(free, reach) >= least:
-                return False
-            if counts[s] > used.get(s, 0):
-                used[s] = used.get(s, 0) + 1
-                chosen.append(s)
-                done = search(chosen, free - s, s, used)
-                chosen.pop()
-                used[s] -= 1
-                if done:
-                    return True
-        return False
-
-    if room >= smallest:
-        search([], room, room, {largest: 1})
-    return best
+            if take := min(available[k], free // sizes[k]):
+                chosen.append([k, take])
+                free -= take * sizes[k]
+                if free < least:
+                    best, least = tuple(sizes[i] for i, n in chosen for _ in range(n)), free
+            k -= 1
+            continue
+        if not chosen or not least or left <= 0:
+            return best
+        left -= 1
+        last = chosen[-1]
+        k = last[0] - 1
+        free += sizes[last[0]]
+        last[1] -= 1
+        if not last[1]:
+            chosen.pop()
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int = 4000) -> list[tuple[int, tuple[int, ...]]]:

@@ -183,6 +183,19 @@ def test_histogram_packing_is_optimal_on_small_cases():
         assert sum(n for n, _ in made) <= fewest(sizes, 20) + 1
 
 
+def test_packing_of_many_empty_texts(spark):
+    texts = ["", None] * 2500 + ["word " * 1500, "word " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(df, **tokenizer_files()).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == len(texts)
+    for places in bins.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(bins) == -(-sum(n for p in bins.values() for _, n in p) // 2048)
+    assert packing.pack_histogram({1: 100_000}, 50_000) == [(2, (1,) * 50_000)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 1500 + "é</p>"
     rows = [(1, "http://a/1", big), (2, None, big), (3, "http://a/3\r\nx", "small"), (4, "http://a/4", "small"), (5, "u", None), (6, "u", ""), (7, "u", big), (7, "u", big), (8, "v", "y" * 200_000), (None, "w", big)]
