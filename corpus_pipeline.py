@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    groups = ngram_join.near_duplicates(docs)
+    """The document with the smallest id of each group stays; groups are linked by four fifths of their shingles of five words."""
+    groups = ngram_join.near_duplicates(docs, width=5, percent=80)
     gone = written(groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id"), "gone")
     few = gone.limit(broadcast_ids + 1).count() <= broadcast_ids
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)

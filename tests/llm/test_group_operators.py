@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from slotwise.llm import line_dedup, ngram_join, packing, warc, wrapper
 from slotwise.llm.queries import tokenizer_files
 
@@ -57,6 +58,29 @@ def test_jaccard_components(spark):
     assert len({c for *_, c in got}) < len(texts) - 20
 
 
+def test_pipeline_links_five_words_at_four_fifths(spark):
+    rnd = random.Random(9)
+    texts = ["", "one two three", "One two three", "a b c d e", "a b c d f"]
+    for n in (12, 30, 60, 150, 400):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        for share in (0, 0.02, 0.05, 0.1, 0.14, 0.18, 0.25, 0.4):
+            k = int(n * share)
+            texts.append(" ".join(base + [f"x{rnd.randrange(10**6)}" for _ in range(k)]))
+            texts.append(" ".join(base[k:]))
+            w = base[:]
+            for _ in range(k // 5):
+                w[rnd.randrange(n)] = f"v{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    words = [t.lower().split() for t in texts]
+    sets = [set(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    wide = brute_components(sets, 80)
+    stay = [i for i, c in enumerate(wide) if i == c]
+    assert stay != [i for i, c in enumerate(brute_components(shingle_sets(texts))) if i == c]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == stay
+
+
 def test_jaccard_without_rows(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
