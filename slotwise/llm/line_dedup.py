@@ -1,8 +1,9 @@
 """Line deduplication by a segment-partition edit join, in DataFrame expressions only.
 
 A line of at least `least_exact` characters goes if an equal line stands earlier (ids, then place, in
-order), and one of at least `least_near` characters also if an earlier line is within `tau` edits. The
-earlier line need not stay itself, so the result does not depend on the order of work.
+order), and one of at least `least_near` characters also if an earlier line is within `tau` edits. Both
+need `least_exact` characters without the spaces around them, so lines of spaces stay. The earlier line
+need not stay itself, so the result does not depend on the order of work.
 
 Near lines: each distinct line is split into tau + 1 segments, of which tau edits leave one whole. Its
 segments are indexed by length, number and content; the same line probes, for its own and up to tau
@@ -162,7 +163,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tau:
     known = keyed.join(_few(repeated, broadcast_rows), ["h", "g"], "left")
     later = F.col("first_pos").isNotNull() & ~first
     exact = known.where(later).select("doc", "pos", "h")
-    distinct = known.where(~later).select("doc", "pos", "line")
+    # shorter ones aren't collapsed above, so all copies would meet
+    distinct = known.where(~later & (F.char_length(F.trim("line")) >= least_exact)).select("doc", "pos", "line")
 
     pairs = written(near_pairs(distinct, tau, least_near), "line-pairs")
     places = written(pairs.select(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos")).union(pairs.select("b_doc", "b_pos")).distinct(), "line-places")

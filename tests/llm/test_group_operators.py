@@ -139,6 +139,14 @@ def test_lines(spark, tau):
         assert sum(r.text is None for r in rows) == 1 and len(rows) == len(docs)
 
 
+def test_padded_lines_stay(spark):
+    padded = [" " * 30, " " * 29 + "}", "   " * 9 + "short" + " " * 5, " " * 24]
+    texts = ["\n".join([*padded, f"line number {i} of its own text {i * 7919}"]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in line_dedup.dedup_lines(df).collect():
+        assert r.text.split("\n")[:4] == padded
+
+
 def test_line_dedup_is_native(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
