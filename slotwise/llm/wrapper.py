@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of block elements whose leaves are runs of text. Each host has a seed page; all its
-pages are aligned with the seed by simple tree matching (order-preserving, equal labels, equal text
-counting double). Leaves of the seed whose aligned text is the same on most pages are template; slots
-whose text varies are content. Regions that HTML names for what they are (navigation, page headers and
+Pages become trees of block elements whose leaves are runs of text. Each host has up to three seed pages;
+all its distinct pages are aligned with each seed by simple tree matching (order-preserving, equal labels,
+equal text counting double). Leaves of a seed whose text stands there on most of the host's other distinct
+pages are template; others are content. Regions that HTML names for what they are (navigation, page headers and
 footers, asides, adverts, notices, forms, comments, scripts, styles) are no content however they vary.
 Pages with a main or article element give the text inside it, others all content slots.
 
@@ -13,7 +13,7 @@ with a third of all pages is split by adaptive execution there.
 
 Null html and pages without text give an empty string. A page without a host is not aligned. Very deep
 trees are flattened below a fixed depth, and very long child lists aligned by equal text and order, so
-work stays near linear. Repeated rows are pages of their own. Empty tables give no rows; only the named
+work stays near linear. Repeated payloads of a host count once and give a row each. Empty tables give no rows; only the named
 columns are read.
 """
 
@@ -256,7 +256,7 @@ _parsed: dict[str, tuple[Node, dict[int, int]]] = {}
 
 def _seed(source: str) -> tuple[Node, dict[int, int]]:
     if source not in _parsed:
-        if len(_parsed) > 64:
+        if len(_parsed) > 256:
             _parsed.clear()
         tree = parse(source)
         _parsed[source] = tree, {id(x): i for i, x in enumerate(leaves(tree))}
@@ -268,56 +268,73 @@ def host_of(url: str) -> F.Column:
 
 
 def count_slots(pages: DataFrame) -> DataFrame:
-    """Rows host, slot, met, same from pages (host, html, seed): how often a seed's leaf was aligned, and with its own text."""
+    """Rows host, seed, slot, same from distinct pages (host, html, seeds): how many pages other than a seed have its leaf's text there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], list[int]] = {}
+        counts: dict[tuple[str, int, int], int] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(h, s, m, e) for (h, s), (m, e) in counts.items()]
+            rows = [(*k, n) for k, n in counts.items()]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]], names=["host", "slot", "met", "same"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]], names=["host", "seed", "slot", "same"])
 
         for batch in batches:
-            for host, source, seed in zip(*[column(batch, c).to_pylist() for c in ("host", "html", "seed")], strict=True):
-                tree, number = _seed(seed)
-                for x, y in align(tree, parse(source)):
-                    c = counts.setdefault((host, number[id(x)]), [0, 0])
-                    c[0] += 1
-                    c[1] += x.text == y.text
+            for host, source, seeds in zip(*[column(batch, c).to_pylist() for c in ("host", "html", "seeds")], strict=True):
+                page = parse(source)
+                for k, seed in enumerate(seeds):
+                    if seed != source:
+                        tree, number = _seed(seed)
+                        for x, y in align(tree, page):
+                            if x.text == y.text:
+                                key = (host, k, number[id(x)])
+                                counts[key] = counts.get(key, 0) + 1
             if len(counts) > 100_000:
                 yield out()
         yield out()
 
-    return pages.mapInArrow(run, "host string, slot long, met long, same long").groupBy("host", "slot").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    return pages.mapInArrow(run, "host string, seed long, slot long, same long").groupBy("host", "seed", "slot").agg(F.sum("same").alias("same"))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least_pages: int = 5, least_same: float = 0.8, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", least_pages: int = 5, least_same: float = 0.8, broadcast_bytes: int = 8 << 20, n_seeds: int = 3) -> DataFrame:
     """Rows page_id, url, text, n_chars."""
     ship_package(pages.sparkSession)
     p = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.nullif(host_of(url), F.lit("")).alias("host"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("html"))
-    seeds = p.where("host is not null and html <> ''").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))).alias("_s"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_pages)
-    chosen = seeds.select("host", F.col("_s.page_id").alias("_page"), F.col("_s.col3").alias("_hash"))
-    chosen = F.broadcast(chosen) if chosen.count() <= broadcast_bytes // 64 else chosen
-    seed = written(p.join(chosen, "host").where((F.col("page_id") == F.col("_page")) & (F.xxhash64("html") == F.col("_hash"))).groupBy("host").agg(F.first("html").alias("seed")), "seeds")
-    bytes_ = seed.agg(F.coalesce(F.sum(F.octet_length("seed") + F.octet_length("host")), F.lit(0))).first()[0]
+    hashed = p.where("host is not null and html <> ''").select("page_id", "host", "html", F.xxhash64("html").alias("h"), F.xxhash64(F.lit(1), "html").alias("g"))
+    payloads = written(hashed.groupBy("host", "h", "g").agg(F.min("page_id").alias("_page"), F.count(F.lit(1)).alias("_rows")), "payloads")
+    fits = lambda df: F.broadcast(df) if df.limit(broadcast_bytes // 64 + 1).count() <= broadcast_bytes // 64 else df
+
+    # the seeds of a host are the least payloads of as many parts of its hashes
+    order = F.xxhash64("h", "g")
+    least = payloads.groupBy("host", F.pmod(order, F.lit(n_seeds)).alias("_part")).agg(F.min_by(F.struct("h", "g", "_page"), F.struct(order, "h", "g")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    hosts = least.groupBy("host").agg(F.sum("_n").alias("n_pages")).where(F.col("n_pages") >= least_pages)
+    chosen = fits(written(least.join(hosts, "host").select("host", "n_pages", "_part", F.col("_s.h").alias("h"), F.col("_s.g").alias("g"), "_s._page"), "chosen"))
+    single = hashed.join(chosen, ["host", "h", "g"]).where(F.col("page_id").eqNullSafe(F.col("_page"))).groupBy("host", "_part").agg(F.first("html").alias("html"), F.first("n_pages").alias("n_pages"))
+    seed = written(single.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.sort_array(F.collect_list(F.struct("_part", "html"))).alias("_s")).select("host", "n_pages", F.col("_s.html").alias("seeds")), "seeds")
+    bytes_ = seed.agg(F.coalesce(F.sum(F.octet_length(F.array_join("seeds", "")) + F.octet_length("host")), F.lit(0))).first()[0]
     small = (lambda x: F.broadcast(x)) if bytes_ <= broadcast_bytes else (lambda x: x)
-    counts = written(count_slots(p.select("host", "html").join(small(seed), "host")), "slots")
-    constant = counts.where((F.col("met") >= least_pages) & (F.col("same") >= F.col("met") * least_same)).groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-    wrappers = written(seed.join(constant, "host"), "wrappers")
-    joined = p.join(small(wrappers), "host", "left").select("page_id", "url", "html", "seed", "slots")
+
+    # a payload counts once: copies but one leave, and rows that are equal as a whole are made one
+    repeated = fits(written(payloads.where("_rows > 1").select("host", "h", "g", "_page"), "repeated"))
+    once = hashed.join(repeated, ["host", "h", "g"], "left_anti").select("host", "html")
+    kept = hashed.join(repeated, ["host", "h", "g"]).where(F.col("page_id").eqNullSafe(F.col("_page"))).dropDuplicates(["host", "h", "g"]).select("host", "html")
+    counts = written(count_slots(once.union(kept).join(small(seed.select("host", "seeds")), "host")), "slots")
+    constant = counts.join(small(seed.select("host", "n_pages")), "host").where(F.col("same") >= (F.col("n_pages") - 1) * least_same)
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("seed", "slot"))).alias("slots"))
+    wrappers = written(seed.join(constant, "host").select("host", "seeds", "slots"), "wrappers")
+    joined = p.join(small(wrappers), "host", "left").select("page_id", "url", "html", "seeds", "slots")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source_, seed_, slots in zip(*[column(batch, c).to_pylist() for c in ("html", "seed", "slots")], strict=True):
+            for source_, seeds, slots in zip(*[column(batch, c).to_pylist() for c in ("html", "seeds", "slots")], strict=True):
                 tree = parse(source_)
                 template: set[int] = set()
-                if seed_ is not None and slots:
-                    wrapper, number = _seed(seed_)
-                    fixed = set(slots)
-                    template = {id(y) for x, y in align(wrapper, tree) if x.text == y.text and number[id(x)] in fixed}
+                for k, seed_ in enumerate(seeds or ()):
+                    fixed = {s["slot"] for s in slots if s["seed"] == k}
+                    if fixed:
+                        wrapper, number = _seed(seed_)
+                        template |= {id(y) for x, y in align(wrapper, tree) if x.text == y.text and number[id(x)] in fixed}
                 texts.append(content(tree, template))
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

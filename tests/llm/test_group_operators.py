@@ -258,3 +258,20 @@ def test_wrapper_learns_what_a_host_repeats(spark):
         assert (got[50], got[51], got[52], got[53], got[60]) == ("alone\ntail", "", "", "T\na\nb", "deep")
         assert got[61] == "\n".join(map(str, range(3000)))
     assert wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_wrapper_keeps_text_of_copies(spark):
+    page = lambda k, n: "<body><div>Our site</div>" + "".join(f"<p>{k} says {j}</p>" for j in range(n)) + "</body>"
+    rows = [(i, "http://copies/", page("same", 3)) for i in range(9)] + [(9, "http://copies/", page("other", 3)), (9, "http://copies/", page("other", 3))]
+    # long pages with copies: few pages reach their later paragraphs
+    rows += [(100 + i, "http://long/", page(f"long{i % 4}", 40)) for i in range(24)] + [(200 + i, "http://long/", page(f"p{i}", 2)) for i in range(12)]
+    # two pages of another kind lack what all others repeat
+    rows += [(300 + i, "http://odd/", page(f"q{i}", 2) if i % 8 else f"<table><tr><td>error {i}</table>") for i in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for kw in ({}, {"broadcast_bytes": 1}):
+        got = {r.page_id: r.text for r in wrapper.extract(df, **kw).collect()}
+        says = lambda k, n: "\n".join(f"{k} says {j}" for j in range(n))
+        assert got[0] == "Our site\n" + says("same", 3) and got[9] == "Our site\n" + says("other", 3)
+        assert all(got[100 + i] == says(f"long{i % 4}", 40) for i in range(24))
+        assert all(got[200 + i] == says(f"p{i}", 2) for i in range(12))
+        assert all(got[300 + i] == (says(f"q{i}", 2) if i % 8 else f"error {i}") for i in range(16))
