@@ -1,6 +1,7 @@
 """Row-wise operators against brute force, with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -96,6 +97,20 @@ def test_licences(spark):
     assert all(any(k in t.lower() for k in licenses.TRIGGERS) or n == "ISC" for n, t in licenses.TEMPLATES)
 
 
+def test_licences_of_standard_texts():
+    m = licenses.Matcher(licenses.TEMPLATES)
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    heads = {name: "\n".join((folder / f).read_text().strip().split("\n")[:3]) for f, name in files.items() if (folder / f).exists()}
+    gpl = "This {} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    cases = [*heads.items(), ("GPL-2.0", gpl.format("program", "", "2")), ("LGPL-2.1", gpl.format("library", "Lesser ", "2.1")), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause")]
+    cases += [("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")]
+    cases += [("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:")]
+    for name, text in cases:
+        score, found, _ = m.scan(text)
+        assert (found, score >= 0.75) == (name, True), (name, found, score, text)
+
+
 def test_importance_held_out(spark):
     docs, labels = (queries.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     fit = labels.where("pmod(doc_id, 2) = 0")
