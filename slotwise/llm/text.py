@@ -1,11 +1,12 @@
 """Vectorised tokenising and hashing of UTF-8 text held in Arrow buffers.
 
-Words are hashed with a polynomial in an odd base modulo 2**64, computed for all words of a
-block from prefix sums, and then mixed. Nothing here makes a Python object per word.
+A word's 64-bit hash takes its length and its bytes eight at a time, each step a keyed bijection of all
+64 bits; words of more than 64 bytes go through BLAKE2b. Nothing here makes a Python object per ordinary word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_LONG_WORD = 64
+_HEADS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
 
 #: A byte table: 1 for bytes of words, 0 for the white space 0x20 and 0x09 to 0x0D.
 SPACE_SPLIT = np.ones(256, np.uint8)
@@ -28,17 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -47,6 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin at `at`, of so many bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    hashed = mix(sizes.astype(np.uint64) * _KEY + np.uint64(1))
+    who = np.arange(len(at))
+    for k in range(0, _LONG_WORD, 8):
+        if k:
+            who = who[sizes[who] > k]
+            if not len(who):
+                break
+        part = eight[at[who] + k] & _HEADS[np.minimum(sizes[who] - k, 8)]
+        hashed[who] = mix((hashed[who] ^ part) + _KEY)
+    for i in np.flatnonzero(sizes > _LONG_WORD):
+        word = data[at[i] : at[i] + sizes[i]].tobytes()
+        hashed[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return hashed
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most `limit` bytes (or one longer row): first row, end row, bytes, offsets. Null: no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,15 +91,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SPACE_SP
     ends = np.append(at[1:], n)
     keep = kind[at] != 0
     at, ends = at[keep], ends[keep]
-    up, down = _power_tables(n)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        body = (LOWER[data] if lower else data).astype(np.uint64)
-        body += np.uint64(1)
-        body *= up
-        np.cumsum(body, out=sums[1:])
-        hashed = (sums[ends] - sums[at]) * down[at]
-        hashed = mix(hashed + (ends - at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashed = word_hashes(LOWER[data] if lower else data, at, ends - at)
     return hashed, kind[at], np.searchsorted(at, offsets).astype(np.int64)
 
 
