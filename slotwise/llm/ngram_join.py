@@ -1,22 +1,23 @@
 """Exact Jaccard join of documents' word n-gram sets, and their connected components.
 
 Universe partition with the pigeonhole principle. Sets whose sizes fall in one band hash their elements
-into m segments. Linked sets differ in at most `most` elements there, so some segments agree exactly, or
-up to one deletion where that is allocated; each document emits a key per segment, and for segments with
-an allocated deletion a key per one-deletion neighbour. How many segments get a deletion and how many
-spare segments there are is chosen for each band by estimated cost (keys written against chance
-meetings of segments with hardly any elements). With e spare segments, and none of those
-with a deletion agreeing, e + 1 others agree exactly, so a document with at most e small segments among
-these leaves them out, and no link is lost. Sets near a band's lower edge emit
-keys for the band below as well.
-
-Equal sets are one node from the start (64-bit hash of the set). Keys that two nodes share make
+into m segments. Two linked sets of which one has n elements differ in at most D(n) elements, so some
+segments agree exactly, or up to one deletion where that is allocated: each document emits keys of whole
+segments, and for the d segments with an allocated deletion a key per one-deletion neighbour as well.
+m and d are chosen for each band by estimated cost (keys written against chance meetings of segments
+with hardly any elements). m exceeds what the principle asks for, so a document leaves keys out: in an
+order that only depends on a segment's content, fullest segments first, it emits as many of the others
+as leave out one segment less than must agree. The first of two sets' agreeing segments in that order
+is then emitted by both, so no link is lost. Sets that have partners in a lower band emit keys for it as well.
+
+The text is read once: sizes, sketches and keys are written and read again. Equal sets are one node from
+the start (64-bit hash of the set), whose keys one document emits. Keys that two nodes share make
 candidates, without making pairs of all who share one: first every node is checked against the most
 connected node of each key; then, in keys whose nodes aren't yet one component, only nodes outside the
 component of that key's centre meet the others, and only if parities of element counts in 256 buckets
-allow enough overlap. Each candidate is verified on the shingles of both whole texts. Links inside a
-component that is known already are not looked for: the result is components, and n_links counts
-verified links only.
+allow enough overlap. Each candidate is verified on the words of both whole texts, not on hashes. Links
+inside a component that is known already are not looked for: the result is components, and n_links
+counts the links that were found and verified, which may be fewer than there are.
 
 Null and empty texts have empty sets and are linked with nothing; texts with fewer words than the width
 have their word sequence as only element. Ties and repeated rows are equal sets; rows with a null id take
@@ -31,57 +32,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.llm.arrow import column
-from slotwise.llm.text import blocks, mix, shingles, tokens
+from slotwise.llm.text import LOWER, blocks, mix, shingles, tokens
 from slotwise.session import ship_package, written
 
+_LOWER = LOWER.tobytes()
 SKETCH = [f"s{i}" for i in range(4)]
-_SMALL = 1  # elements of a segment that may be left out
-_BAND_GROWTH = 1.5
+_BAND_GROWTH = 2.0
 _CHANCE_COST = 400.0  # keys that a meeting of empty segments costs; each further element makes meetings rarer by
-_CHANCE_FALL = 0.25
-
-
-def allocation(lo: int, hi: int, percent: int) -> tuple[int, int, int]:
-    """(segments m, of which d with one deletion, spare e) of least cost for sets of lo to hi elements; m + d is one more than the sets can differ by, and e."""
-    most = hi * (100 - percent) // percent
-    best = None
-    for e in range(9):
-        for d in range((most + 1 + e) // 2 + 1):
-            m = most + 1 + e - d
-            p, mean = 1 / m, lo / m
-            stay = 1 - p + p * _CHANCE_FALL
-            exact, near = stay**lo, stay**lo + mean * stay ** (lo - 1)
-            none, one = (1 - p) ** lo, mean * (1 - p) ** (lo - 1)
-            expected = (m - d) * (none + one)
-            left = 1 - sum(math.exp(-expected) * expected**q / math.factorial(q) for q in range(e + 1)) if e else 1.0
-            chance = (m - d) * (exact - (1 - left) * (none + one * _CHANCE_FALL)) + d * near
-            cost = m + d * (lo + hi) / 2 / m + _CHANCE_COST * chance
-            if best is None or cost < best[0]:
-                best = (cost, m, d, e)
-    return best[1:]
-
-
-def bands(largest: int, percent: int) -> list[tuple[int, int, int, int, int]]:
-    """(lo, hi, m, d, e) from the first size at which linked sets can differ up to `largest`."""
+_CHANCE_FALL = 0.05
+
+
+def differing(n: int, hi: int, percent: int) -> int:
+    """Elements by which a set of n and a linked one can differ, if the smaller of both has at most hi."""
+    return n * (100 - percent) // percent if n <= hi else (n + hi) * (100 - percent) // (100 + percent)
+
+
+def _cost(n: int, hi: int, m: int, d: int, percent: int) -> float:
+    """Keys that a set of n elements emits, and what their chance meetings cost, with segment sizes by Poisson's law."""
+    x = n / m
+    sizes = np.arange(int(x + 10 * math.sqrt(x) + 12))
+    share = np.exp(sizes * math.log(x) - x - np.array([math.lgamma(k + 1) for k in sizes]))
+    whole = max(0, differing(n, hi, percent) + 1 - 2 * d)
+    fullest = np.cumsum(((m - d) * share)[::-1])[::-1]  # segments of at least so many elements
+    taken = np.minimum(fullest, whole)
+    by_size = taken - np.append(taken[1:], 0)
+    rare = _CHANCE_FALL ** sizes.astype(float)
+    return whole + d * (1 + x) + _CHANCE_COST * float((by_size * rare).sum() + d * (share * rare).sum() + d * (share * sizes * rare).sum() / _CHANCE_FALL)
+
+
+def allocation(lo: int, hi: int, percent: int) -> tuple[int, int]:
+    """(segments m, of which d with one deletion) of least cost for sets of lo to hi elements; m + d is at least one more than they can differ by."""
+    most = differing(hi, hi, percent)
+    half = most // 2 + 1
+    choices = sorted({*range(min(half, 6) + 1), half})
+    steps = sorted({max(1, round((most + 1) * 1.12**k)) + extra for k in range(18) for extra in (0, 1, 2)})
+    found = []
+    for d in choices:
+        for m in steps:
+            if m + d > most and m >= d:
+                found.append((sum(_cost(n, hi, m, d, percent) for n in {lo, round(math.sqrt(lo * hi)), hi}), m, d))
+    return min(found)[1:]
+
+
+def bands(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """(lo, hi, m, d) from the first size at which linked sets can differ up to `largest`."""
     lo = -(-percent // (100 - percent))
     out = []
     while lo <= largest:
         hi = max(lo, math.ceil(lo * _BAND_GROWTH) - 1)
-        if hi * (100 - percent) // percent > 400:  # far beyond, small segments don't happen: no search
-            most = hi * (100 - percent) // percent
-            out.append((lo, hi, most + 3, 0, 2))
-        else:
-            out.append((lo, hi, *allocation(lo, hi, percent)))
+        out.append((lo, hi, *allocation(lo, hi, percent)))
         lo = hi + 1
     return out
 
 
-_bands: dict[tuple[int, int], list] = {}
+_bands: dict[int, list] = {}
 
 
 def block_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +118,16 @@ def set_features(found: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndar
 
 
 def set_keys(found: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs of all rows of a block."""
+    """Keys of all rows of a block, row by row, and the number of keys of each row."""
     largest = int(sizes.max()) if len(sizes) else 0
-    known = _bands.get(("b", percent), [])
+    known = _bands.get(percent, [])
     if not known or known[-1][1] < largest:
-        known = _bands[("b", percent)] = bands(max(largest, 4096), percent)
-    rows_out, keys_out = [], []
+        known = _bands[percent] = bands(max(largest, 4096), percent)
+    rows_out, keys_out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     contribution = mix(found + np.uint64(0x632BE59BD9B4E019))
     place = mix(found ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(32)
-    for b, (lo, hi, m, d, e) in enumerate(known):
-        upper = hi * 100 // percent  # larger partners of sets in this band
-        chosen = (sizes >= lo) & (sizes <= upper)
+    for b, (lo, hi, m, d) in enumerate(known):
+        chosen = (sizes >= lo) & (sizes <= hi * 100 // percent)  # larger ones are partners of sets in this band
         if not chosen.any():
             continue
         which = np.flatnonzero(chosen)
@@ -130,82 +138,78 @@ def set_keys(found: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int
         segment = (place[mine] % np.uint64(m)).astype(np.int64)
         index = of * m + segment
         total = np.zeros(len(which) * m, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(total, index, part)
-            salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(b << 32) + np.uint64(1))
-            keys = mix(total + np.tile(salt, len(which)))
-            count = np.bincount(index, minlength=len(total))
-            small = (count <= _SMALL) & np.tile(np.arange(m) >= d, len(which))
-            many = small.reshape(len(which), m).sum(axis=1) > e
-            emit = ~small | np.repeat(many, m) if e else np.ones(len(total), bool)
-            rows_out.append(np.repeat(which, m)[emit])
-            keys_out.append(keys[emit])
-            if d:
-                near = segment < d
-                rows_out.append(which[of[near]])
-                keys_out.append(mix(total[index[near]] - part[near] + salt[segment[near]]))
-    if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows_out), np.concatenate(keys_out).view(np.int64)
+        np.add.at(total, index, part)
+        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(b << 32) + np.uint64(1))
+        keys = mix(total + np.tile(salt, len(which))).reshape(len(which), m)
+        if m > d:
+            n = sizes[which]
+            whole = np.where(n <= hi, n * (100 - percent) // percent, (n + hi) * (100 - percent) // (100 + percent)) + 1 - 2 * d
+            count = np.bincount(index, minlength=len(total)).reshape(len(which), m)[:, d:]
+            # fullest first, then by content: any two sets put their agreeing segments in the same order
+            order = (np.minimum(count, 0xFFFF).astype(np.uint64) << np.uint64(48)) | (keys[:, d:] >> np.uint64(16))
+            last = np.sort(order, axis=1)[np.arange(len(which)), np.clip(m - d - whole, 0, m - d - 1)]
+            emit = (order >= last[:, None]) & (whole > 0)[:, None]
+            rows_out.append(which[np.nonzero(emit)[0]])
+            keys_out.append(keys[:, d:][emit])
+        if d:
+            rows_out.append(np.repeat(which, d))
+            keys_out.append(keys[:, :d].ravel())
+            near = segment < d
+            rows_out.append(which[of[near]])
+            keys_out.append(mix(total[index[near]] - part[near] + salt[segment[near]]))
+    rows = np.concatenate(rows_out)
+    return np.concatenate(keys_out).view(np.int64)[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(sizes))
 
 
 _LONG = T.LongType()
 _NODE = [T.StructField("n", _LONG), T.StructField("node", _LONG), *[T.StructField(s, _LONG) for s in SKETCH]]
 
 
-def document_sets(df: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """Rows doc_id, n, node (hash of the set; null for empty ones), sketch columns."""
+def document_sets(df: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
+    """Rows doc_id, n, node (hash of the set; null for empty ones), sketch columns, keys (none for sets too small to differ from a linked one)."""
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    schema = T.StructType([source.schema["doc_id"], *_NODE])
+    schema = T.StructType([source.schema["doc_id"], *_NODE, T.StructField("keys", T.ArrayType(_LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(column(batch, "t")):
                 found, row = block_sets(data, offsets, width)
                 sizes, hashes, sketch = set_features(found, row, hi - lo)
+                keys, counts = set_keys(found, row, sizes, percent)
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys))
                 node = pa.array(hashes, mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes), node, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes), node, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)], listed], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def document_keys(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Rows key, node for all documents with sets large enough to differ from a linked one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(0)):
-                found, row = block_sets(data, offsets, width)
-                sizes, hashes, _ = set_features(found, row, hi - lo)
-                rows, keys = set_keys(found, row, sizes, percent)
-                for a in range(0, len(rows), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)]), pa.array(hashes[rows[a : a + (1 << 17)]])], names=["key", "node"])
-
-    return df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "key long, node long")
+def word_set(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, as tuples of words."""
+    words = text.translate(_LOWER).split()
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return set(zip(*[words[k:] for k in range(width)], strict=False))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets are similar enough."""
-    left = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
+    """Those of the pairs (a, b) whose texts' sets of words are similar enough."""
+    left = texts.select(F.col("node").alias("a"), F.col("t").cast("binary").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("t").cast("binary").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, tuple] = {"a": (None, set()), "b": (None, set())}  # one side often stays the same from row to row
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                keep = []
-                sides = []
-                for name in ("ta", "tb"):
-                    sets: list[np.ndarray] = []
-                    for x, y, data, offsets in blocks(column(piece, name)):
-                        found, row = block_sets(data, offsets, width)
-                        sets += np.split(found, np.searchsorted(row, np.arange(1, y - x)))
-                    sides.append(sets)
-                for p, q in zip(*sides, strict=True):
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(p) + len(q) - common))
-                yield pa.RecordBatch.from_arrays([column(piece, "a"), column(piece, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            ids = {n: column(batch, n).to_pylist() for n in "ab"}
+            for i in range(batch.num_rows):
+                for n in "ab":
+                    if last[n][0] != ids[n][i]:
+                        last[n] = (ids[n][i], word_set(column(batch, f"t{n}")[i].as_py(), width))
+                p, q = last["a"][1], last["b"][1]
+                common = len(p & q)
+                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -232,12 +236,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
         raise ValueError("percent must be above 50 and below 100")
     spark = df.sparkSession
     ship_package(spark)
-    docs = written(document_sets(df, text, doc_id, width), "sets")
-    nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH])
-
-    keys = document_keys(df, text, width, percent)
-    shared = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("key")
-    members = written(keys.join(shared, "key").select("key", "node").distinct(), "members")
+    docs = written(document_sets(df, text, doc_id, width, percent), "sets")
+    full = docs.where("node is not null")
+    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH], F.count(F.lit(1)).alias("rows")), "nodes")
+
+    # one document of each node emits its keys
+    copied = nodes.where("rows > 1").select("node", F.col("first").alias("_first"))
+    copied = F.broadcast(copied) if copied.limit(broadcast_ids + 1).count() <= broadcast_ids else copied
+    single = full.select("doc_id", "node", "keys").join(copied, "node", "left").where("_first is null or _first <=> doc_id")
+    keys = single.select("node", F.explode("keys").alias("key"))
+    of_key = Window.partitionBy("key")
+    members = keys.withColumn("_a", F.min("node").over(of_key)).withColumn("_b", F.max("node").over(of_key)).where("_a <> _b")
+    members = written(members.select("key", "node").distinct(), "members")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
     fame = members.join(sizes, "key").groupBy("node").agg(F.sum("_size").alias("_fame"))
     rated = members.join(fame, "node")
@@ -274,7 +284,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     classed = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
     classed = classed.join(smallest, "label").join(links, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = docs.join(classed, "node", "left")
+    out = docs.drop("keys").join(classed, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

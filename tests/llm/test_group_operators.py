@@ -85,11 +85,37 @@ def test_jaccard_without_rows(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_allocation_covers_the_difference():
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(8)
     for percent in (80, 90):
-        for lo, hi, m, d, e in ngram_join.bands(6000, percent):
-            assert m + d == hi * (100 - percent) // percent + 1 + e and d <= m
-    assert any(d for *_, d, _ in ngram_join.bands(6000, 90))
+        for lo, hi, m, d in ngram_join.bands(6000, percent):
+            assert m + d > ngram_join.differing(hi, hi, percent) and d <= m
+        for n in [*range(1, 60), 77, 130, 255, 700, 1999, 5000]:
+            for _ in range(4):
+                # the least common part that two sets of sizes n and `other` need
+                other = int(rng.integers(n, n * 100 // percent + 1))
+                common = -(-percent * (n + other) // (100 + percent))
+                x = rng.integers(1, 1 << 63, n + other - common, dtype=np.uint64)
+                sets = [np.sort(x[:n]), np.sort(x[n - common :])]
+                sizes = np.array([len(s) for s in sets])
+                assert 100 * common >= percent * (sum(sizes) - common)
+                keys, counts = ngram_join.set_keys(np.concatenate(sets), np.repeat([0, 1], sizes), sizes, percent)
+                if n < other or sets[0].tolist() != sets[1].tolist():
+                    assert set(keys[: counts[0]]) & set(keys[counts[0] :])
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a = thue_morse(1024)
+    b = a.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(0, f"{a} x y z"), (1, f"{b} x y z"), (2, f"{b} x y Z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect()) == [(0, 0), (1, 1), (2, 1)]
 
 
 def edit_distance(a, b):
@@ -122,7 +148,7 @@ def test_lines(spark, tau):
     base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(15, 50))) for _ in range(30)]
     docs = [(i, "\n".join(mutate(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3, 5])) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
     docs += [(70, None), (71, ""), (72, "\n\n"), (None, base[0] + "\nshort\nshort"), (73, base[0]), (73, base[0])]
-    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, Lines_Removed string")
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, Lines_Removed string").withColumns({c: F.lit(1) for c in ("_doc", "_gone", "h", "line")})
     key = lambda d: -1 if d is None else d
     lines = sorted({(key(d), p, x) for d, t in docs if t is not None for p, x in enumerate(t.split("\n"))})
     gone = set()
