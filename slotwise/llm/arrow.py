@@ -19,6 +19,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name with as many underscores in front as make it differ from all of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[T.StructField], keep: list[str] | None = None, reads: list[str] | None = None) -> DataFrame:
     """df, or its columns in `keep`, with the columns that fn makes of each Arrow batch. fn sees the columns in `reads` as well."""
     ship_package(df.sparkSession)

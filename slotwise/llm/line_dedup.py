@@ -7,14 +7,15 @@ need not stay itself, so the result does not depend on the order of work.
 
 Near lines: each distinct line is split into tau + 1 segments, of which tau edits leave one whole. Its
 segments are indexed by length, number and content; the same line probes, for its own and up to tau
-shorter lengths, the substrings that multi-match-aware selection leaves for each segment. Lengths and
-counts of seven letters, modulo 16, prune meetings inside the join. Candidates are verified by a banded
-bit-parallel automaton: a bit for each diagonal within tau of the main one, a register for each number
-of errors.
+shorter lengths, the substrings that multi-match-aware selection leaves for each segment. A line's length
+and its counts of fifteen letters, modulo 16, travel with each key in one long and prune meetings inside
+the join. Candidates are verified by a banded bit-parallel automaton: a bit for each diagonal within tau
+of the main one, a register for each number of errors.
 
-Equal lines are told by two 64-bit hashes, so their text isn't shuffled. What repeats, and the lines that
-candidates name, are small tables as a rule: up to `broadcast_rows` rows they go to the scan of the
-texts, beyond that by shuffle.
+Texts are split twice: to count lines, and to write the lines that are left, each with its hash and
+letters. Keys are made from that table. Equal lines are told by two 64-bit hashes, so their text isn't
+shuffled. What repeats, and the lines that candidates name, are small tables as a rule: up to
+`broadcast_rows` rows they are broadcast, beyond that they go by shuffle.
 
 Null text stays null and empty text empty. Rows of one id are one document: a line at the same place of
 the same id isn't a repetition of itself. Empty tables give no rows. Extra columns are kept; a column
@@ -26,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.arrow import without
+from slotwise.llm.arrow import unused, without
 from slotwise.session import written
 
-_COUNTED = "etaonri"  # letters whose counts prune
+_COUNTED = "etaonrishdlcumg"  # letters whose counts prune, 15 at most
 
 
 def _segments(tau: int, shorter: int) -> dict[str, Column]:
@@ -71,16 +72,21 @@ def probe_keys(tau: int, least: int) -> list[Column]:
 def _letters(line: Column, length: Column) -> Column:
     """The length and the counts of a few letters, modulo 16, in four bits each."""
     packed = F.pmod(length, F.lit(16)).cast("long")
-    for k, c in enumerate(_COUNTED, 1):
-        packed = packed + F.shiftleft(((F.size(F.split(line, c, -1)) - 1) % 16).cast("long"), 4 * k)
+    for k, c in enumerate(_COUNTED, 1):  # each is one byte in UTF-8
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * k))
     return packed
 
 
+def _nibble(letters: Column, k: int) -> Column:
+    return F.shiftrightunsigned(letters, 4 * k).bitwiseAND(F.lit(15)).cast("int")
+
+
 def _may_be_near(a: Column, b: Column, tau: int) -> Column:
     """An edit changes the length or two counts of letters: counts differ by at most 2 tau less the gap of lengths."""
     total = F.lit(0)
     for k in range(len(_COUNTED) + 1):
-        d = F.pmod(F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k), F.lit(16))
+        d = F.abs(_nibble(a, k) - _nibble(b, k))
         total = total + F.least(d, 16 - d)
     return total <= 2 * tau
 
@@ -136,21 +142,32 @@ def repeated_lines(lines: DataFrame, least: int) -> DataFrame:
     return many.select("h", "g", F.col("_first.doc").alias("first_doc"), F.col("_first.pos").alias("first_pos"))
 
 
-def near_pairs(distinct: DataFrame, tau: int, least: int) -> DataFrame:
-    """Candidate pairs of distinct lines: a_doc, a_pos (earlier), b_doc, b_pos."""
-    width = 4 * (len(_COUNTED) + 1)
-    info = F.shiftleft(F.col("pos").cast("long"), width) + _letters(F.col("line"), F.col("n"))
-    # lengths and letters are taken once a line, below the generators; explode would also test the keys for being there
-    long = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= least).select("doc", info.alias("info"), "line", "n")
-    index = long.withColumns(_segments(tau, 0)).select("doc", "info", F.explode_outer(F.array(*index_keys(tau))).alias("key"))
-    probe = long.withColumns(_segments(tau, tau)).select(F.col("doc").alias("p_doc"), F.col("info").alias("p_info"), F.explode_outer(F.array(*probe_keys(tau, least))).alias("p_key")).where("p_key is not null")
-    # two lines of one length would find each other twice, and a line itself: there only the later one counts as probe
-    one_way = (F.pmod("info", F.lit(16)) != F.pmod("p_info", F.lit(16))) | (F.struct("p_doc", "p_info") > F.struct(F.col("doc").alias("p_doc"), F.col("info").alias("p_info")))
-    met = probe.join(index, (F.col("p_key") == F.col("key")) & one_way & _may_be_near(F.col("info"), F.col("p_info"), tau))
-    pos = lambda c: F.shiftright(F.col(c), width).cast("int")
-    x, y = F.struct(F.col("doc").alias("doc"), pos("info").alias("pos")), F.struct(F.col("p_doc").alias("doc"), pos("p_info").alias("pos"))
-    pairs = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    return pairs.select(F.col("a.doc").alias("a_doc"), F.col("a.pos").alias("a_pos"), F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos"))
+def remaining(parts: Column, gone: Column) -> Column:
+    """The lines whose (place, hash) isn't among `gone`: both are sorted together, and a line goes if such an entry precedes it."""
+    lines = F.transform(parts, lambda line, i: F.struct(i.alias("pos"), F.xxhash64(line).alias("h"), F.lit(1).alias("kind"), line.alias("line")))
+    marks = F.transform(gone, lambda g: F.struct(g["pos"].alias("pos"), g["h"].alias("h"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line")))
+
+    def unmarked(s: Column) -> Column:
+        def here(x: Column, i: Column) -> Column:
+            before = F.get(s, i - 1)
+            return (x["kind"] == 1) & ~F.coalesce((before["kind"] == 0) & (before["pos"] == x["pos"]) & (before["h"] == x["h"]), F.lit(False))
+
+        return F.transform(F.filter(s, here), lambda x: x["line"])
+
+    # the lambda binds the sorted array, which would else be sorted again for every line
+    return F.transform(F.array(F.sort_array(F.concat(lines, marks))), unmarked)[0]
+
+
+def near_pairs(lines: DataFrame, tau: int, least: int) -> DataFrame:
+    """Candidate pairs x, y (hashes) of distinct lines (h, line, n, letters) that may be within tau edits."""
+    long = lines.where(F.col("n") >= least).select("h", "letters", "line", "n")
+    # segments are columns of their own, below the generators; explode would also test the keys for being there
+    index = long.withColumns(_segments(tau, 0)).select("h", "letters", F.explode_outer(F.array(*index_keys(tau))).alias("key"))
+    probe = long.withColumns(_segments(tau, tau)).select(F.col("h").alias("p_h"), F.col("letters").alias("p_letters"), F.explode_outer(F.array(*probe_keys(tau, least))).alias("p_key")).where("p_key is not null")
+    # two lines of one length would find each other twice, and a line itself: there only one way counts
+    one_way = (_nibble(F.col("letters"), 0) != _nibble(F.col("p_letters"), 0)) | (F.col("p_h") > F.col("h"))
+    met = probe.join(index, (F.col("p_key") == F.col("key")) & one_way & _may_be_near(F.col("letters"), F.col("p_letters"), tau))
+    return met.select(F.least("h", "p_h").alias("x"), F.greatest("h", "p_h").alias("y")).distinct()
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = 2, least_exact: int = 10, least_near: int = 24, broadcast_rows: int = 500_000, removed: str = "lines_removed", left: str = "lines_left") -> DataFrame:
@@ -160,26 +177,30 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tau:
     repeated = written(repeated_lines(lines, least_exact), "repeated")
     keyed = lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
     first = F.col("first_doc").eqNullSafe(F.col("doc")) & (F.col("first_pos") == F.col("pos"))
-    known = keyed.join(_few(repeated, broadcast_rows), ["h", "g"], "left")
-    later = F.col("first_pos").isNotNull() & ~first
-    exact = known.where(later).select("doc", "pos", "h")
-    # shorter ones aren't collapsed above, so all copies would meet
-    distinct = known.where(~later & (F.char_length(F.trim("line")) >= least_exact)).select("doc", "pos", "line")
-
-    pairs = written(near_pairs(distinct, tau, least_near), "line-pairs")
-    places = written(pairs.select(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos")).union(pairs.select("b_doc", "b_pos")).distinct(), "line-places")
-    small = _few(places, broadcast_rows).select(F.col("doc").alias("_doc"), F.col("pos").alias("_pos"))
-    content = written(lines.join(small, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos"))).select("doc", "pos", "line"), "line-texts")
-    side = lambda s: content.select(F.col("doc").alias(f"_{s}"), F.col("pos").alias(f"_{s}p"), F.col("line").alias(f"{s}_line"))
-    both = pairs.join(side("a"), F.col("a_doc").eqNullSafe(F.col("_a")) & (F.col("a_pos") == F.col("_ap")))
-    both = both.join(side("b"), F.col("b_doc").eqNullSafe(F.col("_b")) & (F.col("b_pos") == F.col("_bp")))
-    near = both.where(within_edits(F.col("a_line"), F.col("b_line"), tau)).select(F.col("b_doc").alias("doc"), F.col("b_pos").alias("pos"), F.xxhash64("b_line").alias("h"))
-
-    gone = exact.union(near).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("pos", "h")).alias("_gone"))
-    out = df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_doc")), "left")
+    known = keyed.join(_few(repeated, broadcast_rows), ["h", "g"], "left").withColumn("later", F.col("first_pos").isNotNull() & ~first)
+    # lines that take part in near pairs keep their text; those of under least_exact characters aren't collapsed, so all copies would meet
+    near_too = ~F.col("later") & (F.char_length(F.trim("line")) >= least_exact) & (F.char_length("line") >= least_near)
+    chosen = known.where(F.col("later") | near_too).select("doc", "pos", "h", "later", F.when(~F.col("later"), F.col("line")).alias("line"))
+    chosen = chosen.withColumn("n", F.char_length("line")).withColumn("letters", _letters(F.col("line"), F.col("n")))
+    chosen = written(chosen, "lines")
+    exact = chosen.where("later").select("doc", "pos", "h")
+
+    fresh = chosen.where("not later")
+    pairs = written(near_pairs(fresh, tau, least_near), "line-pairs")
+    named = written(pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct(), "line-names")
+    content = written(fresh.join(_few(named, broadcast_rows), "h", "left_semi").select("h", "doc", "pos", "line"), "line-texts")
+    side = lambda s: content.select(F.col("h").alias(s), F.struct("doc", "pos").alias(f"{s}_place"), F.col("line").alias(f"{s}_line"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(~F.col("x_place").eqNullSafe(F.col("y_place")))
+    later_is_y = F.col("y_place") > F.col("x_place")
+    close = both.where(within_edits(F.col("x_line"), F.col("y_line"), tau))
+    near = close.select(F.when(later_is_y, F.col("y_place")).otherwise(F.col("x_place")).alias("place"), F.when(later_is_y, F.col("y")).otherwise(F.col("x")).alias("h")).select("place.doc", "place.pos", "h")
+
+    at_doc, at_gone = unused(df, "_doc"), unused(df, "_gone")
+    gone = exact.union(near).groupBy(F.col("doc").alias(at_doc)).agg(F.collect_set(F.struct("pos", "h")).alias(at_gone))
+    out = df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(at_doc)), "left")
     parts = F.split(F.col(f"`{text}`").cast("string"), "\n", -1)
-    stay = F.filter(parts, lambda line, i: ~F.array_contains(F.col("_gone"), F.struct(i.alias("pos"), F.xxhash64(line).alias("h"))))
-    touched = F.col("_gone").isNotNull()
+    stay = remaining(parts, F.col(at_gone))
+    touched = F.col(at_gone).isNotNull()
     others = [F.col(f"`{c}`") if c != text else F.when(touched, F.array_join(stay, "\n")).otherwise(F.col(f"`{text}`")).alias(text) for c in df.columns]
     filled = lambda lines: F.size(F.filter(lines, lambda x: F.trim(x) != ""))
     n = F.coalesce(F.when(touched, F.size(parts) - F.size(stay)), F.lit(0)).cast("long")
