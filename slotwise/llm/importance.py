@@ -6,8 +6,10 @@ for words come in bursts. A document's log weight is the sum of log(p_target / p
 without those whose ratio is near one, so that long clean documents gather no noise. How near, and the
 smoothing, are chosen among a few values by how well weights separate labelled rows, each row's own
 counts left out of the models. Documents are drawn without replacement by Gumbel top-k: the k largest of
-sharpness * log weight + Gumbel noise, the noise taken from a hash of the id. k is given, or the number
-of documents whose weight passes the threshold that separates the labelled rows best.
+sharpness * log weight + Gumbel noise, the noise taken from a hash of the id; at sharpness 1, the default,
+the first drawn is any document with a chance in proportion to its weight, and so on among those left.
+k is given, or a share of all rows, or else the number of documents whose weight passes the threshold
+that separates the labelled rows best (weights are held within 250 of 0 when that threshold is sought).
 
 Both models are fitted on counts of all rows; the labelled sample is at most max_labels rows (those with
 the smallest hash of their id), small enough to broadcast. The k-th largest key comes from counts of
@@ -76,7 +78,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, unigrams: int, smoothing: fl
     Additive smoothing in proportion to the models' sizes. An n-gram counts once in a row, so the row's own count
     can be left out of the models exactly; that is what keeps labelled rows comparable with others.
     """
-    out = np.zeros((2, len(raw)))
+    out = np.zeros((2, len(raw)), np.float32)
     others = np.maximum(raw - 1, 0)
     for part in (slice(0, unigrams), slice(unigrams, None)):
         share = target[part].sum() / max(1, raw[part].sum())
@@ -175,8 +177,8 @@ class Draw:
         return F.struct((-key).alias("a"), doc_id.alias("b")) <= last
 
 
-def draw(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, bits: tuple[int, int] = (18, 16), smoothing: tuple[float, ...] = (1.0, 3.0, 10.0), least_ratio: tuple[float, ...] = (1.0, 1.5, 2.0), good_weight: float = 6.0, sharpness: float = 4.0, max_labels: int = 20_000, seed: int = 1, step: float = 0.25) -> Draw:
-    """smoothing and least_ratio: choices, of which the pair that separates the labelled rows best is taken."""
+def draw(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int | None = None, share: float | None = None, bits: tuple[int, int] = (18, 16), smoothing: tuple[float, ...] = (1.0, 3.0, 10.0), least_ratio: tuple[float, ...] = (1.0, 1.5, 2.0), good_weight: float = 6.0, sharpness: float = 1.0, max_labels: int = 20_000, seed: int = 1, step: float = 0.25) -> Draw:
+    """smoothing and least_ratio: choices, of which the pair that separates the labelled rows best is taken; k rows are drawn, or a share of them."""
     spark = df.sparkSession
     sample = written(label_sample(labels, max_labels), "labelled")  # at most max_labels rows
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -188,19 +190,22 @@ def draw(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "do
     raw[at], target[at] = counts["raw"].to_numpy(), counts["target"].to_numpy()
     choices = [log_ratios(raw, target, 1 << bits[0], x, y) for x in smoothing for y in least_ratio]
 
-    labelled = _weights(rows.join(F.broadcast(sample), "doc_id"), spark.sparkContext.broadcast(choices), bits, "text", "w", ["good"], "good")
+    tried = spark.sparkContext.broadcast(choices)
+    labelled = _weights(rows.join(F.broadcast(sample), "doc_id"), tried, bits, "text", "w", ["good"], "good")
     binned = labelled.select("good", F.posexplode("w").alias("choice", "w")).groupBy("choice", F.floor(F.greatest(F.least("w", F.lit(250.0)), F.lit(-250.0)) / step).alias("b"))
     found: dict[int, list] = {}
     for r in binned.agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("o")).orderBy("choice", "b").collect():  # at most 2001 bins a choice
         found.setdefault(r["choice"], []).append((r["b"], r["g"], r["o"]))
+    tried.destroy()  # workers let go of it too
     value, threshold, choice = max(((*best_threshold(bins, good_weight, step), -c) for c, bins in found.items()), key=lambda x: (x[0], x[2]), default=(0.0, float("-inf"), 0))
 
     tables = spark.sparkContext.broadcast([choices[-choice]])
     scored = _weights(joined, tables, bits, "text", "w", ["doc_id"], "good").select("doc_id", F.col("w")[0].alias("log_weight"))
     scored = written(scored.withColumn("key", _key(F.col("log_weight"), sharpness, seed)), "weights")
+    rows_in = scored.count()
     if k is None:
-        k = scored.where(F.col("log_weight") >= threshold).count()
-    k = min(k, scored.count())
+        k = round(share * rows_in) if share is not None else scored.where(F.col("log_weight") >= threshold).count()
+    k = min(k, rows_in)
     if k <= 0:
         return Draw(scored, tables, sample, 0, None)
     lo, hi = kth_largest(scored, k)
@@ -216,7 +221,7 @@ def resample(df: DataFrame, labels: DataFrame, **settings: object) -> DataFrame:
     return made.scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), made.drawn(F.col("key"), F.col("doc_id")).alias("kept"))
 
 
-def resampled_rows(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: tuple[int, int] = (18, 16), sharpness: float = 4.0, seed: int = 1, **settings: object) -> DataFrame:
+def resampled_rows(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: tuple[int, int] = (18, 16), sharpness: float = 1.0, seed: int = 1, **settings: object) -> DataFrame:
     """The drawn rows of df with all their columns; weights are computed again in the scan, which shuffles no text."""
     made = draw(df, labels, text, doc_id, bits=bits, sharpness=sharpness, seed=seed, **settings)
     mine = made.sample.select(F.col("doc_id").alias("_labelled"), F.col("good").alias("_good"))

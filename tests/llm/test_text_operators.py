@@ -1,6 +1,8 @@
 """Row-wise operators against brute force, with nulls, empty and long texts, ties and clashing columns."""
 
+import collections
 import hashlib
+import math
 import pathlib
 import random
 import re
@@ -127,3 +129,47 @@ def test_importance_edges(spark):
     assert importance.resample(table(spark), labels, k=3).where("kept").count() == 3
     rows = importance.resampled_rows(table(spark), labels, k=4)
     assert rows.count() == 4 and rows.columns == table(spark).columns
+
+
+def test_importance_against_brute_force(spark):
+    """Counts, ratios and the draw on a small table, by plain Python."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abcdefgh" if i % 3 else "stuvwxyz") for _ in range(rnd.randint(3, 12))) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    bits = (20, 20)
+    made = importance.draw(docs, labels, bits=bits, smoothing=(1.0,), least_ratio=(0.5,), k=20)
+    got = {r.doc_id: r for r in made.scored.collect()}
+    grams = []
+    for t in texts:
+        w = t.split()
+        grams.append(({("1", x) for x in w}, {("2", x, y) for x, y in zip(w, w[1:], strict=False)}))
+    good = {i for i in range(30) if i % 3}
+    for i in range(60):
+        total = 0.0
+        for part in (0, 1):
+            raw, target = collections.Counter(g for x in grams for g in x[part]), collections.Counter(g for k in good for g in grams[k][part])
+            share = sum(target.values()) / sum(raw.values())
+            for g in grams[i][part]:
+                ratio = math.log((target[g] - (i in good) + share) / (share * (raw[g] - 1 + 1)))
+                total += ratio if abs(ratio) >= 0.5 else 0
+        assert got[i].log_weight == pytest.approx(total, abs=1e-4)
+    order = sorted(got.values(), key=lambda r: (-r.key, r.doc_id))
+    assert made.k == 20 and {r.doc_id for r in made.scored.where(made.drawn(F.col("key"), F.col("doc_id"))).collect()} == {r.doc_id for r in order[:20]}
+    assert importance.resample(docs, labels, bits=bits, share=0.25).where("kept").count() == 15
+
+
+def test_draws_follow_the_weights(spark):
+    weights = {i: w for i, w in enumerate([2.0, 1.0, 0.0, -1.0, 1.5, 0.5])}
+    seeds = 3000
+    table = spark.createDataFrame(list(weights.items()), "doc_id long, w double").crossJoin(spark.range(seeds).withColumnRenamed("id", "seed"))
+    keys = [importance._key(F.col("w"), 1.0, s) for s in (1, 2)]
+    first = table.limit(1).select(*keys).first()
+    assert first[0] != first[1]  # another seed, other noise
+    # the hash of id and seed, for many seeds at once
+    unit = (F.pmod(F.xxhash64("doc_id", F.col("seed").cast("int")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    best = table.withColumn("key", F.col("w") - F.log(-F.log(unit))).groupBy("seed").agg(F.max_by("doc_id", "key").alias("doc_id"))
+    drawn = {r.doc_id: r["count"] / seeds for r in best.groupBy("doc_id").count().collect()}
+    total = sum(math.exp(w) for w in weights.values())
+    for i, w in weights.items():
+        assert drawn.get(i, 0) == pytest.approx(math.exp(w) / total, abs=0.03)
