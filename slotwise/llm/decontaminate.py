@@ -1,9 +1,12 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the word windows of benchmark items.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised words of benchmark items.
 
-Texts are normalised to lower-case words with single spaces; every window of `width` item words (or
-a whole shorter item) is a pattern between spaces. Each text is read once; hits are mapped to word
-numbers and to code points of the original. Patterns travel by broadcast in blocks of bounded size;
-more blocks mean more passes over the rows, which keep the hits found so far, and no shuffle.
+Items become sequences of word numbers. A window of `width` words holds one of the item's aligned runs of
+(width + 1) / 2 words, those that begin at multiples of that, so these runs are the automaton's patterns:
+about one node for each word of an item, instead of one for each letter of each window. Each text is read
+once; where a run is found, the words beside it are compared with the item's, and all windows that lie
+inside the part that agrees are hits. Items shorter than the window are patterns as a whole. Hits are
+mapped to word numbers and to code points of the original. Items travel by broadcast in blocks of bounded
+size; more blocks mean more passes over the rows, which keep the hits found so far, and no shuffle.
 
 Null and empty texts have no words and are clean; items without words match nothing; repeated items
 each count; an empty benchmark leaves everything clean. A clashing input column is replaced.
@@ -13,8 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from slotwise.llm.arrow import add_columns, column
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[str, object] = {}
+_built: dict[str, Windows] = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -32,27 +35,61 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(words: list[bytes], width: int) -> set[bytes]:
-    if len(words) < width:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+class Windows:
+    """The windows of `width` words of numbered items, found through an automaton over aligned runs of their words."""
 
-
-def _automaton(key: str, items: list[tuple[str, str]], width: int):
-    """Built once in each Python worker. Value of a pattern: its characters, words and item numbers."""
-    if key not in _built:
+    def __init__(self, texts: list[str], width: int):
         import ahocorasick
 
-        of: dict[bytes, set[int]] = {}
-        for i, (_, text) in enumerate(items):
-            for w in windows(normal_words(text), width):
-                of.setdefault(w, set()).add(i)
-        machine = ahocorasick.Automaton()
-        for w, own in of.items():
-            machine.add_word(f" {w.decode('latin-1')} ", (len(w) + 2, w.count(b" ") + 1, tuple(sorted(own))))
-        machine.make_automaton()
+        self.width, self.step = width, (width + 1) // 2
+        self.number: dict[bytes, int] = {}
+        # a run of words (or a whole short item) -> words before it, words after it (as many as a window can reach) -> items
+        around: dict[tuple[int, ...], dict[tuple[tuple[int, ...], tuple[int, ...], bool], set[int]]] = {}
+        for i, text in enumerate(texts):
+            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in normal_words(text))
+            if 0 < len(ids) < width:
+                around.setdefault(ids, {}).setdefault(((), (), True), set()).add(i)
+                continue
+            reach = width - self.step
+            for a in range(0, len(ids) - self.step + 1, self.step):
+                b = a + self.step
+                around.setdefault(ids[a:b], {}).setdefault((ids[max(0, a - reach) : a][::-1], ids[b : b + reach], False), set()).add(i)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for run, places in around.items():
+            self.machine.add_word(run, (len(run), [(*k, tuple(sorted(items))) for k, items in places.items()]))
+        self.empty = not around
+        if around:
+            self.machine.make_automaton()
+
+    def spans(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """(first word, end, items) of runs in which every window is one of the items'."""
+        if self.empty or not words:
+            return
+        number = self.number
+        ids = tuple([number.get(w, 0) for w in words])
+        n = len(ids)
+        for last, (size, places) in self.machine.iter(ids):
+            end = last + 1
+            begin = end - size
+            for before, after, whole, items in places:
+                lo, hi = begin, end
+                for x in before:
+                    if not lo or ids[lo - 1] != x:
+                        break
+                    lo -= 1
+                for x in after:
+                    if hi == n or ids[hi] != x:
+                        break
+                    hi += 1
+                if whole or hi - lo >= self.width:
+                    yield lo, hi, items
+
+
+def _windows(key: str, items: list[tuple[str, str]], width: int) -> Windows:
+    """Built once in each Python worker."""
+    if key not in _built:
         _built.clear()
-        _built[key] = machine
+        _built[key] = Windows([text for _, text in items], width)
     return _built[key]
 
 
@@ -83,22 +120,16 @@ def _scan_block(df: DataFrame, items: list[tuple[str, str]], text: str, width: i
 
     def scan(batch: pa.RecordBatch) -> list:
         listed = sent.value
-        machine = _automaton(key, listed, width)
+        machine = _windows(key, listed, width)
         columns: list[list] = [[] for _ in (_REPORT if final else _HITS)]
         before = column(batch, "_hits").to_pylist() if again else [None] * batch.num_rows
         for t, was in zip(column(batch, text).to_pylist(), before, strict=True):
             words = normal_words(t)
             found: set[int] = set(was["words"]) if was else set()
             names: set[str] = set(was["items"]) if was else set()
-            if words and len(machine):
-                starts = None
-                line = f" {b' '.join(words).decode('latin-1')} "
-                for end, (chars, count, own) in machine.iter(line):
-                    if starts is None:
-                        starts = np.cumsum([0] + [len(w) + 1 for w in words])
-                    at = int(np.searchsorted(starts, end - chars + 1))
-                    found.update(range(at, at + count))
-                    names.update(listed[i][0] for i in own)
+            for lo, hi, own in machine.spans(words):
+                found.update(range(lo, hi))
+                names.update(listed[i][0] for i in own)
             hits, own_items, n = sorted(found), sorted(names), len(found)
             made = (len(words), n, own_items, _spans(t, hits), n > 0 and 100 * n >= least_percent * len(words)) if final else ({"words": hits, "items": own_items},)
             for c, x in zip(columns, made, strict=True):
