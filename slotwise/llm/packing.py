@@ -5,9 +5,13 @@ there are: it goes to the driver, is packed there by bin completion, and comes b
 slots per length. Each piece finds its slot by its rank among pieces of its length; ranks come from
 counts per (length, bucket), so no task holds a whole group of equal lengths.
 
-Bin completion: around the largest length left, fillings are enumerated by branch-and-bound (best-fit
-first as incumbent, pruned by the waste a branch can still beat), a step for each length however many
-pieces of it are taken; the chosen filling is repeated as often as its lengths allow and not taken back.
+Bin completion, branch-and-bound: the incumbent is the better of best fit decreasing and of taking the
+least-waste filling around the largest length left, as often as its lengths allow. If it needs more sequences than the lower bound, the search goes
+over fillings, bin by bin with backtracking: around the largest piece left all undominated fillings are
+enumerated, least waste first; a branch is cut when its waste or the lower bound of what is left cannot
+beat the incumbent, or when its pieces left were met before with no more sequences. Up to `tail` sequences
+are searched as a whole; of more, those of most waste and some others in turn are packed anew, as long as
+that saves one. `nodes` bounds each search; `fewest` tells whether the number of sequences is proved least.
 
 Null text is empty and gives the end id alone. Equal rows get sequences of their own places.
 An empty table gives no rows.
@@ -19,6 +23,7 @@ import base64
 import bisect
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +37,14 @@ from slotwise.llm.arrow import column
 from slotwise.session import ship_package, written
 
 _loaded: dict[str, Tokens] = {}
+_LONG_RUN = re.compile(r"\s{20000}")
 
 
 class Tokens:
     """Ids of a byte-level BPE as little-endian 32-bit words, by the faster of two encoders with one vocabulary.
 
-    Texts that hold a special token's string go through the tokenizer of the file itself.
+    Texts that hold a special token's string, or a run of white space that the faster one may not survive, go
+    through the tokenizer of the file itself.
     """
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
@@ -51,7 +58,7 @@ class Tokens:
             self._special = [t["content"] for t in json.load(f)["added_tokens"]]
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self._special):
+        if any(s in text for s in self._special) or _LONG_RUN.search(text):
             if self._file is None:
                 from tokenizers import Tokenizer
 
@@ -125,9 +132,63 @@ def best_filling(counts: dict[int, int], sizes: list[int], largest: int, room: i
             chosen.pop()
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int = 4000) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of bins, lengths in each) for all pieces of the histogram."""
-    counts = {int(k): int(v) for k, v in histogram.items() if v > 0}
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: pieces of over half a bin share none, and those of at least k can only use what room they leave."""
+    sizes = np.array(sorted(counts), np.int64)
+    if not len(sizes):
+        return 0
+    n = np.array([counts[int(s)] for s in sizes], np.int64)
+    number, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    best = -(-int(total[-1]) // capacity)
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    for i in range(half + 1):  # k is the i-th size, or there is none so small
+        k = int(sizes[i]) if i < half else capacity // 2 + 1
+        alone = int(np.searchsorted(sizes, capacity - k, side="right"))  # pieces of over capacity - k leave no room for k
+        alone = max(alone, half)
+        n_large, room = int(number[-1] - number[half]), int((number[alone] - number[half]) * capacity - (total[alone] - total[half]))
+        rest = int(total[half] - total[min(i, half)])
+        best = max(best, n_large + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of bins, lengths in each): pieces in falling length, each into the fullest bin that has room."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}  # room left -> filling -> bins
+
+    def put(filling: tuple[int, ...], room: int, n: int) -> None:
+        if n:
+            of = rooms.setdefault(room, {})
+            of[filling] = of.get(filling, 0) + n
+
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        for room in sorted(r for r in rooms if r >= s):
+            each = room // s  # a bin stays the fullest with room until it has no more
+            for filling, n in list(rooms[room].items()):
+                take = min(n, left // each)
+                more = left - take * each if take < n else 0
+                put(filling + (s,) * each, room - each * s, take)
+                if more:
+                    put(filling + (s,) * more, room - more * s, 1)
+                left -= take * each + more
+                rooms[room][filling] -= take + (more > 0)
+                if not rooms[room][filling]:
+                    del rooms[room][filling]
+                if not left:
+                    break
+            if not rooms[room]:
+                del rooms[room]
+            if not left:
+                break
+        each = capacity // s
+        put((s,) * each, capacity - each * s, left // each)
+        put((s,) * (left % each), capacity - left % each * s, 1 if left % each else 0)
+    return [(n, f) for of in rooms.values() for f, n in of.items()]
+
+
+def least_waste(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of bins, lengths in each): a filling of least waste around the largest length at a time, repeated as often as it fits."""
+    counts = dict(counts)
     sizes = sorted(counts)
     bins: list[tuple[int, tuple[int, ...]]] = []
     while sizes:
@@ -146,6 +207,141 @@ def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int =
     return bins
 
 
+def dominated(filling: tuple[int, ...], slack: int, others: list[int]) -> bool:
+    """Whether a piece left out could replace one, or several, of the filling's that are together no longer, and still fit."""
+    sums: dict[int, int] = {0: 0}  # of some pieces -> the largest number of pieces
+    for s in filling:
+        for t, n in list(sums.items()):
+            sums[t + s] = max(sums.get(t + s, 0), n + 1)
+        if len(sums) > 4000:  # a test of fewer sums still only finds what is dominated
+            break
+    return any(any(t < x <= t + slack or t == x and n > 1 for t, n in sums.items() if n) for x in others)
+
+
+def fillings(counts: dict[int, int], largest: int, capacity: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings around one piece `largest`, least waste first, and whether these are all (at most `most` are looked at)."""
+    room = capacity - largest
+    sizes = sorted((s for s, n in counts.items() if s <= room and n - (s == largest) > 0), reverse=True)
+    available = [counts[s] - (s == largest) for s in sizes]
+    found: list[tuple[int, tuple[int, ...]]] = []
+    looked = 0
+    todo = [(0, room, ())]
+    while todo:
+        k, free, chosen = todo.pop()
+        while k < len(sizes) and sizes[k] > free:
+            k += 1
+        if k == len(sizes):
+            looked += 1
+            if looked > most:
+                break
+            left = [s for s, n in zip(sizes, available, strict=True) if n > chosen.count(s)]
+            if not (left and left[-1] <= free) and not dominated(chosen, free, left):
+                found.append((free, chosen))
+            continue
+        for n in range(min(available[k], free // sizes[k]) + 1):  # the last pushed, with most pieces, comes first
+            todo.append((k + 1, free - n * sizes[k], chosen + (sizes[k],) * n))
+    found.sort(key=lambda x: (x[0], len(x[1])))
+    return [c for _, c in found], looked <= most
+
+
+def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int, width: int = 5000) -> tuple[list[tuple[int, ...]] | None, bool]:
+    """Bins of a packing with fewer than `best`, the fewest that the search meets, or None; and whether the search ended by itself."""
+    total = sum(s * n for s, n in counts.items())
+    answer: list[tuple[int, ...]] | None = None
+    whole, left = True, nodes
+    seen: dict[tuple, int] = {}
+    stack: list[tuple[dict[int, int], Iterator[tuple[int, ...]], int]] = []
+    path: list[tuple[int, ...]] = []
+
+    def options(state: dict[int, int]) -> Iterator[tuple[int, ...]]:
+        nonlocal whole
+        largest = max(state)
+        found, complete = fillings(state, largest, capacity, width)
+        whole &= complete
+        return iter([(largest, *f) for f in found] or [(largest,)])
+
+    least = lower_bound(counts, capacity)
+    if not counts or least >= best:
+        return None, True
+    stack.append((dict(counts), options(counts), 0))
+    while stack:
+        state, ways, waste = stack[-1]
+        way = next(ways, None)
+        if way is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        left -= 1
+        if left < 0:
+            return answer, False
+        lost = waste + capacity - sum(way)
+        if lost > (best - 1) * capacity - total:  # more waste than one bin fewer allows; what follows wastes no less
+            stack[-1] = (state, iter(()), waste)
+            continue
+        after = dict(state)
+        for s in way:
+            after[s] -= 1
+            if not after[s]:
+                del after[s]
+        used = len(path) + 1
+        if not after:
+            if used < best:
+                best, answer = used, [*path, way]
+                if best == least:
+                    return answer, True
+            continue
+        key = tuple(sorted(after.items()))
+        if used + lower_bound(after, capacity) >= best or seen.get(key, best) <= used:
+            continue
+        seen[key] = used
+        path.append(way)
+        stack.append((after, options(after), lost))
+    return answer, whole
+
+
+def choose(bins: list[tuple[int, tuple[int, ...]]], capacity: int, size: int, turn: int) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
+    """(bins that stay, at most about `size` to pack anew): those of most waste, together of more than a bin, and others in turn."""
+    order = sorted(bins, key=lambda x: sum(x[1]))
+    free, spare, n = [0] * len(order), 0, 0
+    for i, (times, filling) in enumerate(order):
+        waste = capacity - sum(filling)
+        if not waste or spare >= capacity and n >= size // 2 or n >= size:
+            break
+        enough = max(-(-(capacity - spare) // waste), size // 2 - n)
+        free[i] = min(times, enough, size - n)
+        spare, n = spare + free[i] * waste, n + free[i]
+    for j in range(len(order)):
+        i = (turn + j) % len(order)
+        more = min(order[i][0] - free[i], max(1, size // 8), size - n)
+        free[i], n = free[i] + more, n + more
+    return [(t - f, x) for (t, x), f in zip(order, free, strict=True) if t > f], [(f, x) for (t, x), f in zip(order, free, strict=True) if f]
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int = 4000, tail: int = 60, turns: int = 6) -> tuple[list[tuple[int, tuple[int, ...]]], bool]:
+    """(number of bins, lengths in each) for all pieces of the histogram, and whether no packing has fewer bins."""
+    counts = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    bins = min(least_waste(counts, capacity, nodes), best_fit(counts, capacity), key=lambda b: sum(t for t, _ in b))
+    least = lower_bound(counts, capacity)
+    better = True
+    while better and (n := sum(t for t, _ in bins)) > least:
+        better = False
+        for size, turn in [(n, 0)] if n <= tail else [(s, t) for s in (6, 12, 24, tail) for t in range(turns)]:
+            kept, freed = choose(bins, capacity, size, turn * len(bins) // turns) if size < n else ([], bins)
+            again: dict[int, int] = {}
+            for times, filling in freed:
+                for s in filling:
+                    again[s] = again.get(s, 0) + times
+            made, whole = complete_bins(again, capacity, sum(t for t, _ in freed), nodes)
+            if made is not None:
+                bins, better = kept + [(1, b) for b in made], True
+            if not kept and whole:
+                return bins, True
+            if better:
+                break
+    return bins, sum(t for t, _ in bins) == least
+
+
 def slot_table(spark: SparkSession, bins: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """Rows length, lo, hi, each, base, offsets: ranks lo to hi - 1 of a length fill bins base on, `each` a bin at those offsets."""
     at: dict[int, int] = {}
@@ -165,12 +361,12 @@ def slot_table(spark: SparkSession, bins: list[tuple[int, tuple[int, ...]]]) ->
 
 
 def pack(df: DataFrame, tokenizer: str, ranks: str, pattern: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 0, bucket_rows: int = 20_000, nodes: int = 4000) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset, and in all of them whether the sequences are proved fewest."""
     spark = df.sparkSession
     pieces = written(token_pieces(df, tokenizer, ranks, pattern, text, doc_id, capacity, end_id), "pieces")
     full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer rows than capacity
-    bins = pack_histogram(histogram, capacity, nodes)
+    bins, fewest = pack_histogram(histogram, capacity, nodes)
     n_buckets = max(1, sum(histogram.values()) // bucket_rows)
     n_bins = sum(t for t, _ in bins)
 
@@ -186,4 +382,4 @@ def pack(df: DataFrame, tokenizer: str, ranks: str, pattern: str, text: str = "t
     seated = seated.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.expr("(_rank - lo) div each")).alias("sequence_id"), F.element_at("offsets", (nth % F.col("each") + 1).cast("int")).alias("offset"))
     # full pieces fill a sequence each; their numbers only have to differ from all others
     ranked_full = full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + F.lit(n_bins)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return seated.unionByName(ranked_full)
+    return seated.unionByName(ranked_full).withColumn("fewest", F.lit(fewest))

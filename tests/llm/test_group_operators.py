@@ -234,11 +234,29 @@ def test_histogram_packing_is_optimal_on_small_cases():
         put(0, [])
         return best
 
-    for _ in range(40):
-        sizes = sorted((rnd.randint(1, 20) for _ in range(rnd.randint(1, 9))), reverse=True)
-        made = packing.pack_histogram(collections.Counter(sizes), 20)
-        assert sorted((s for n, f in made for s in f * n), reverse=True) == sizes and all(sum(f) <= 20 for _, f in made)
-        assert sum(n for n, _ in made) <= fewest(sizes, 20) + 1
+    for k in range(1000):
+        room = (20, 100)[k % 2]
+        sizes = sorted((rnd.randint(1, room) if k % 3 else rnd.randint(room // 10, room * 6 // 10) for _ in range(rnd.randint(1, 14))), reverse=True)
+        made, proved = packing.pack_histogram(collections.Counter(sizes), room)
+        assert sorted((s for n, f in made for s in f * n), reverse=True) == sizes and all(sum(f) <= room for _, f in made)
+        least = fewest(sizes, room)
+        assert packing.lower_bound(collections.Counter(sizes), room) <= least
+        assert proved and sum(n for n, _ in made) == least
+    made, proved = packing.pack_histogram(dict.fromkeys([58, 55, 52, 38, 30, 18, 17, 16, 12], 1), 100)
+    assert proved and sum(n for n, _ in made) == 3
+    # of many sequences, those of most waste are packed anew
+    made, proved = packing.pack_histogram({58: 50, 55: 50, 52: 50, 38: 50, 30: 50, 18: 50, 17: 50, 16: 50, 12: 50}, 100)
+    assert 150 <= sum(n for n, _ in made) < 157 and sum(n * len(f) for n, f in made) == 450 and not proved
+
+
+def test_long_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    files = tokenizer_files()
+    encode = packing.Tokens(files["tokenizer"], files["ranks"], files["pattern"])
+    whole = Tokenizer.from_file(files["tokenizer"])
+    for text in (" " * 2_000_000, "a" + "\n" * 30_000 + "b", " " * 19_999 + "x"):
+        assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_packing_of_many_empty_texts(spark):
@@ -251,7 +269,7 @@ def test_packing_of_many_empty_texts(spark):
     for places in bins.values():
         assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
     assert len(bins) == -(-sum(n for p in bins.values() for _, n in p) // 2048)
-    assert packing.pack_histogram({1: 100_000}, 50_000) == [(2, (1,) * 50_000)]
+    assert packing.pack_histogram({1: 100_000}, 50_000) == ([(2, (1,) * 50_000)], True)
 
 
 def test_warc_round_trip(spark, tmp_path):
