@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
