@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -319,3 +320,77 @@ def test_wrapper_keeps_text_of_copies(spark):
         assert all(got[100 + i] == says(f"long{i % 4}", 40) for i in range(24))
         assert all(got[200 + i] == says(f"p{i}", 2) for i in range(12))
         assert all(got[300 + i] == (says(f"q{i}", 2) if i % 8 else f"error {i}") for i in range(16))
+
+
+def random_tree(rnd, depth):
+    kids = "".join(random_tree(rnd, depth - 1) for _ in range(rnd.randint(0, 4))) if depth else ""
+    return rnd.choice([f"<div>{kids}</div>", f"<section>{kids}</section>", f"<p>{rnd.choice(['x', 'y', 'z z'])}</p>", "<hr>", f"<div>{rnd.choice('xy')}</div>", rnd.choice("xy") + "<div></div>"])
+
+
+def test_alignment_against_brute_force(monkeypatch):
+    rnd = random.Random(13)
+
+    def weight(x, y):
+        if x.label != y.label:
+            return 0
+        if x.tag == "#text":
+            return 1 + (x.text == y.text)
+
+        def best(i, j):
+            if i == len(x.kids) or j == len(y.kids):
+                return 0
+            return max(best(i + 1, j), best(i, j + 1), weight(x.kids[i], y.kids[j]) + best(i + 1, j + 1))
+
+        return 1 + best(0, 0)
+
+    for k in range(150):
+        a, b = (wrapper.parse("".join(random_tree(rnd, 2) for _ in range(rnd.randint(1, 4)))) for _ in range(2))
+        if len(wrapper.nodes_of(a)) > 30 or len(wrapper.nodes_of(b)) > 30:
+            continue
+        want = weight(a, b)
+        monkeypatch.setattr(wrapper.Alignment, "small", wrapper.Alignment.large if k % 2 else wrapper.Alignment.small, raising=True)
+        monkeypatch.setattr(wrapper, "_CELLS", 3 if k % 3 else 1 << 22)
+        made = wrapper.Alignment(a, b)
+        assert made.weight == want == sum(1 + (x.tag == "#text" and x.text == y.text) for x, y in made.pairs)
+        place = {id(n): i for t in (a, b) for i, n in enumerate(wrapper.nodes_of(t))}
+        order = sorted((place[id(x)], place[id(y)]) for x, y in made.pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(order, order[1:], strict=False))
+        monkeypatch.undo()
+
+
+def test_wrapper_needs_no_names(spark):
+    """Blocks without telling elements, classes or ids: only what the host's pages share and vary tells the text."""
+    rnd = random.Random(14)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        title, paragraphs = say(4), [say(30) for _ in range(rnd.randint(2, 6))]
+        link = f'<p><a href="/{i}">{say(3)}</a></p>' if i % 2 else ""
+        body = "".join(f"<p>{x}</p>" for x in paragraphs) + link
+        rows.append((i, "http://plain.example/a", f'<div><div>Welcome to the site</div><div><a href="/">one</a></div></div><div class="post-{i} widget"><h1>{title}</h1><div>{body}</div></div><div><div>{say(3)}</div><div>All rights kept by us</div></div>'))
+        want[i] = "\n".join([title, *paragraphs, *([re.sub("<[^>]*>", "", link)] if link else [])])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for kw in ({}, {"broadcast_bytes": 1}):
+        assert {r.page_id: r.text for r in wrapper.extract(df, **kw).collect()} == want
+    alone = {r.page_id: r.text for r in wrapper.extract(df.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id"), F.lit(".example/")))).collect()}
+    assert alone[0] != want[0]  # one page a host: nothing tells template from text
+
+
+def test_scanner_is_linear():
+    for source in ('<a "' * 250_000, "<a \"x'>" * 150_000, '<a ">"' * 170_000, "<!--" * 250_000, "<" * 1_000_000, "<div>" * 100_000 + "</td>" * 100_000, "<p>" * 100_000 + "</b>" * 100_000, "<a '>" + '<b ">' * 100_000):
+        begun = time.time()
+        wrapper.parse(source)
+        assert time.time() - begun < 5
+    for source, text in (('<p title="a>b">x</p>', "x"), ("<p title='a\"b'>x", "x"), ('<p title="a>x</p>y', "x\ny"), ("a < b <p>c", "a < b\nc"), ("<!-- <p>n</p> -->x<!--", "x"), ("x<p", "x<p")):
+        assert wrapper.text_alone(wrapper.parse(source), set()) == text, source
+    deep = "<div>" * 20_000 + "t" + "</div>" * 20_000
+    long = "".join(f"<p>{i % 7} {i}</p>" for i in range(3000))
+    other = "".join(f"<p>{i % 7} {i}</p>" for i in range(500, 3400, 2))
+    assert wrapper.Alignment(wrapper.parse(deep), wrapper.parse(deep)).weight == 20_000 + 3
+    p, q = ([x.text for x in wrapper.leaves(wrapper.parse(s))] for s in (long, other))
+    row = [0] * (len(q) + 1)
+    for x in p:
+        before, row[0] = row[:], 0
+        for j, y in enumerate(q, 1):
+            row[j] = max(before[j], row[j - 1], before[j - 1] + 2 + (x == y))
+    assert wrapper.Alignment(wrapper.parse(long), wrapper.parse(other)).weight == 1 + row[-1]
