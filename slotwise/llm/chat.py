@@ -4,12 +4,14 @@ A message's content is a list of parts: text, image, audio or document. A visito
 for each kind flattens them in order: text is escaped, the others become numbered placeholders whose
 attachment (kind, reference, expanded token count) is recorded. Turns stand between markers, and any
 control string inside text, as well as the escape character, gets a backslash, so reading back gives
-the very same messages. The loss mask is a list of code point spans of the output: what the assistant
-said, without markers.
-
-Null roles, texts and references are empty; unknown kinds raise ValueError; messages of one turn
-number are ordered by role and text; an empty conversation table gives no rows. Whole conversations
-make one row, as each is one training text. Clashing extra columns are not carried.
+the very same messages; read with the attachments, typed parts come back as well (neighbouring texts as
+one). The loss mask is a list of code point spans of the output: what the assistant said, without markers.
+
+Null roles, texts and references are empty, null parts are left out, and sizes that are null, negative or
+no number count as the least. A part of unknown kind becomes a placeholder named `other`, whose attachment
+keeps the kind and has no tokens. Messages of one turn number are ordered by role and text; an empty
+conversation table gives no rows. Whole conversations make one row, as each is one training text. Clashing
+extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ TURN, END = "<turn:", "</turn>"
 _OPEN = re.compile(r"<turn:((?:[^\\>]+|\\.)*)>\n", re.S)
 _TO_END = re.compile(r"((?:[^\\<]+|\\.|<(?!/turn>))*)</turn>\n", re.S)
 #: Control strings: markers of this template, placeholders, and headings that other templates use.
-CONTROL = re.compile(r"\\|(?=<turn:|</turn>|<\|(?:image|audio|document):|### (?:Assistant|User|System|Human):)")
+CONTROL = re.compile(r"\\|(?=<turn:|</turn>|<\|(?:image|audio|document|other):|### (?:Assistant|User|System|Human):)")
+_PLACE = re.compile(r"((?:[^\\<]+|\\.|<(?!\|(?:image|audio|document|other):\d+\|>))*)(?:<\|(?:image|audio|document|other):(\d+)\|>)?", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -40,6 +43,11 @@ def escape(text: str) -> str:
     return CONTROL.sub(lambda m: "\\\\" if m.group() else "\\", text)
 
 
+def _size(x: float | None) -> float:
+    """x if it is a finite number above 0, else 0."""
+    return x if x is not None and x > 0 and math.isfinite(x) else 0
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -65,10 +73,8 @@ class Flattener:
         self.write(f"{TURN}{escape(role).replace('>', chr(92) + '>')}>\n")
         begin = self.at
         for part in parts:
-            visit = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-            if visit is None:
-                raise ValueError(f"unknown part: {part.get('type')}")
-            visit(part)
+            if part is not None:
+                getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
         if role in self.train_roles:
             self.loss.append({"start": begin, "end": self.at})
         self.write(f"{END}\n")
@@ -76,32 +82,53 @@ class Flattener:
     def visit_text(self, part: dict) -> None:
         self.write(escape(part.get("text") or ""))
 
-    def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.write(f"<|{kind}:{len(self.attachments)}|>")
+    def attach(self, kind: str, part: dict, tokens: int, name: str | None = None) -> None:
+        self.write(f"<|{name or kind}:{len(self.attachments)}|>")
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "ref": part.get("ref") or "", "tokens": tokens})
 
     def visit_image(self, part: dict) -> None:
         p = self.image_patch
-        self.attach("image", part, math.ceil((part.get("width") or p) / p) * math.ceil((part.get("height") or p) / p))
+        self.attach("image", part, math.ceil((_size(part.get("width")) or p) / p) * math.ceil((_size(part.get("height")) or p) / p))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, math.ceil((part.get("seconds") or 0) * self.audio_tokens_per_second))
+        self.attach("audio", part, math.ceil(_size(part.get("seconds")) * self.audio_tokens_per_second))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, (part.get("pages") or 1) * self.document_tokens_per_page)
+        self.attach("document", part, int(_size(part.get("pages")) or 1) * self.document_tokens_per_page)
 
+    def visit_other(self, part: dict) -> None:
+        self.attach(part["type"], part, 0, "other")
 
-def read_back(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn; placeholders stay in the text as they are."""
-    turns, at = [], 0
+
+def _turns(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text as it stands) of each turn."""
+    at = 0
     while at < len(formatted):
         head = _OPEN.match(formatted, at)
         body = _TO_END.match(formatted, head.end()) if head else None
         if body is None:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(head.group(1)), unescape(body.group(1))))
+        yield unescape(head.group(1)), body.group(1)
         at = body.end()
-    return turns
+
+
+def read_back(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn; placeholders stay in the text as they are."""
+    return [(role, unescape(body)) for role, body in _turns(formatted)]
+
+
+def read_parts(formatted: str, attachments: list) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(role, parts) of each turn: ("text", text), or the kind and reference of an attachment. Escaped text is never taken for a placeholder."""
+    out = []
+    for role, body in _turns(formatted):
+        parts: list[tuple[str, str]] = []
+        for m in _PLACE.finditer(body):
+            if m.group(1):
+                parts.append(("text", unescape(m.group(1))))
+            if m.group(2) is not None:
+                parts.append((attachments[int(m.group(2))]["kind"], attachments[int(m.group(2))]["ref"]))
+        out.append((role, parts))
+    return out
 
 
 _PART = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("text", T.StringType()), ("ref", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("seconds", T.DoubleType()), ("pages", T.IntegerType()))])

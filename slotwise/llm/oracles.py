@@ -4,7 +4,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOW = lambda x: f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
-_CONTROL = r"'<turn:|</turn>|<\|(?:image|audio|document):|### (?:Assistant|User|System|Human):'"
+_CONTROL = r"'<turn:|</turn>|<\|(?:image|audio|document|other):|### (?:Assistant|User|System|Human):'"
 _ESCAPED = lambda x: f"(length({x}) + length({x}) - length(replace({x}, '\\', '')) + len(regexp_extract_all({x}, {_CONTROL})))"
 
 CHAT = f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')))
