@@ -6,8 +6,12 @@ then writes one archive of gzip members to the shared folder and returns an inde
 archive, offset, length, url, digest. The index is written out before anything reads it, so a lost
 executor cannot make it point elsewhere; an attempt that died leaves an archive that no row names.
 
-Reading: selected index rows are sorted by archive and offset, near ones are coalesced into one
-byte-range read of bounded size, and each record is parsed from its slice.
+A response record holds an HTTP head and the payload. Record ids are UUIDs made from page ids, so that a
+revisit can name the record it refers to; rows repeating a page id share one.
+
+Reading: selected index rows are dealt to as many tasks as their bytes ask for, sorted by archive and
+offset, near ones are coalesced into one byte-range read of bounded size, and each record is parsed from
+its slice.
 
 Null html is an empty payload, a null url leaves its header out, and rows repeating the largest page
 id of a payload are all responses. Empty tables make no archives. Archives go through Arrow's file
@@ -48,17 +52,24 @@ def _header(text: str) -> str:
     return re.sub(r"[\r\n]+", " ", text)
 
 
+def _record_id(page_id: int | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One record as a gzip member. A revisit has no payload; its headers say how long it was."""
-    body = b"" if revisit else payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    """One record as a gzip member. A revisit has no block; its headers say how long its payload was."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = b"" if revisit else http + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return gzip.compress("\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def parse(member: bytes) -> dict:
@@ -66,14 +77,14 @@ def parse(member: bytes) -> dict:
     data = zlib.decompress(member, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    payload = rest[: int(fields["Content-Length"])]
-    number = lambda s: int(m.group(1)) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", s)) else None
+    _, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    number = lambda name: int(fields[name]) if name in fields else None
     revisit = fields["WARC-Type"] == "revisit"
     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     digest = stated if revisit else hashlib.sha1(payload).hexdigest()
     if digest != stated:
         raise ValueError(f"digest of {fields['WARC-Record-ID']} is {digest}, not {stated}")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": None if revisit else payload, "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields["WARC-Refers-To"]) if revisit else None}
+    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload": None if revisit else payload, "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID")}
 
 
 def plan_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", least_bytes: int = 1000) -> DataFrame:
@@ -121,7 +132,8 @@ def read_warc(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> Dat
     """The records that index rows name. Neighbours up to `gap` bytes apart share a read of at most `most` bytes or one record."""
     ship_package(index.sparkSession)
     wanted = index.select("archive", "offset", "length").withColumn("_part", F.expr(f"offset div {most}"))
-    parts = wanted.repartition("archive", "_part").sortWithinPartitions("archive", "offset")
+    tasks = -(-(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // (4 * most))
+    parts = wanted.repartition(max(1, tasks), "archive", "_part").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int]] = []
