@@ -54,14 +54,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_paths(documents: DataFrame) -> DataFrame:
-    """documents as files: source/thousands/fifties/id.txt."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    """documents as files: source/id/text.txt. The table knows of no directories beyond the source, so each document is one of its own."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), F.lit("text.txt"))
     return documents.select("doc_id", "text", path.alias("path"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = licenses.scan_notices(document_paths(table(spark, sf_dir, "documents")), keep=["doc_id", "path"])
-    return licenses.inherit(own, file_coverage=0.1)
+    return licenses.inherit(own)
 
 
 def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

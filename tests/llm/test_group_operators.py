@@ -283,6 +283,13 @@ def test_warc_round_trip(spark, tmp_path):
         n = len(big.encode())
         want = sorted([(1, "http://a/1", n, "revisit", 7), (2, None, n, "revisit", 7), (3, "http://a/3 x", 5, "response", None), (4, "http://a/4", 5, "response", None), (5, "u", 0, "response", None), (6, "u", 0, "response", None), (7, "u", n, "response", None), (7, "u", n, "response", None), (8, "v", 200_000, "response", None), (None, "w", n, "revisit", 7)], key=str)
         assert got == want
+    # each member is a record that says its own length, with an HTTP message in it
+    one = index.where("page_id = 8").first()
+    with open(one.archive.removeprefix("file://"), "rb") as f:
+        f.seek(one.offset)
+        head, _, block = zlib.decompress(f.read(one.length), 31).partition(b"\r\n\r\n")
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    assert head.startswith(b"WARC/1.1\r\n") and len(block) == int(fields["Content-Length"]) + 4 and block.startswith(b"HTTP/1.1 200 OK\r\n") and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
     some = warc.read_warc(index.where("page_id = 8")).first()
     assert some.payload.decode() == "y" * 200_000
     assert warc.write_warc(pages.limit(0), (tmp_path / "none").as_uri()).count() == 0

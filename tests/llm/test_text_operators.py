@@ -111,8 +111,13 @@ def test_chat_parts(spark):
     assert r.formatted == "<turn:user>\nsee <|image:0|><|audio:1|><|document:2|></turn>\n"
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "u1", 4), ("audio", "u2", 38), ("document", "u3", 1536)]
     assert r.expanded_tokens == 4 + 38 + 1536
-    with pytest.raises(ValueError):
-        chat.Flattener().message("user", [{"type": "video"}])
+    assert chat.read_parts(r.formatted, [a.asDict() for a in r.attachments]) == [("user", [("text", "see "), ("image", "u1"), ("audio", "u2"), ("document", "u3")])]
+    odd = [None, ("text", "\\<|image:0|> <|image:0|>", None, None, None, None, None), ("image", None, None, -3, None, None, None), ("audio", None, "u", None, None, float("nan"), None), ("video", None, "v", None, None, None, None), ("text", None, None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", odd), (2, 0, None, None)], f"conv_id long, turn long, role string, parts {chat.PARTS.simpleString()}")
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert got[2].formatted == "<turn:>\n</turn>\n"
+    assert [(a.kind, a.ref, a.tokens) for a in got[1].attachments] == [("image", "", 1), ("audio", "u", 0), ("video", "v", 0)]
+    assert chat.read_parts(got[1].formatted, [a.asDict() for a in got[1].attachments]) == [("user", [("text", "\\<|image:0|> <|image:0|>"), ("image", ""), ("audio", "u"), ("video", "v")])]
 
 
 def test_licences(spark):
@@ -120,6 +125,12 @@ def test_licences(spark):
     df = spark.createDataFrame(rows, "path string, text string")
     got = {r.path: (r.effective_licence, r.inherited_from, r.method) for r in licenses.inherit(licenses.scan_notices(df)).collect()}
     assert got == {"a/LICENSE": ("MIT", None, "file"), "a/b/c.txt": ("CC-BY-NC-4.0", "a/b", "inherited"), "a/b/d.txt": ("CC-BY-NC-4.0", None, "file"), "e.txt": (None, None, "none"), None: (None, None, "none"), "a/b2/LICENSE.md": ("GPL-3.0", None, "file"), "a/b2/f/g.txt": ("GPL-3.0", "a/b2", "inherited"), "a/b2/h.txt": ("GPL-3.0", "a/b2", "inherited")}
+    clash = df.withColumns({c: F.lit("x") for c in ("method", "_n", "_nearest", "Directory", "effective_licence")})
+    again = licenses.inherit(licenses.scan_notices(clash)).collect()
+    assert {r.path: (r.effective_licence, r.inherited_from, r.method) for r in again} == got and all(r._nearest == r._n == "x" for r in again)
+    assert licenses.inherit(licenses.scan_notices(df.limit(0))).count() == 0
+    own = (("house", "For use inside the house only"),)
+    assert licenses.Matcher(own).scan("a\nfor use inside the house only\nb")[1] == "house"
     m = licenses.Matcher(licenses.TEMPLATES)
     assert all(m.best(t)[0] == pytest.approx(1) and m.best(t)[1] == n for n, t in licenses.TEMPLATES)
     assert all(any(k in t.lower() for k in licenses.TRIGGERS) or n == "ISC" for n, t in licenses.TEMPLATES)
@@ -134,6 +145,7 @@ def test_licences_of_standard_texts():
     cases = [*heads.items(), ("GPL-2.0", gpl.format("program", "", "2")), ("LGPL-2.1", gpl.format("library", "Lesser ", "2.1")), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause")]
     cases += [("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")]
     cases += [("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:")]
+    cases += [(n, f"Copyright (c) 2020 The Authors\nAll rights reserved.\n\n{x.replace('met: 1.', 'met:' + chr(10) * 2 + '1.')}\n") for n, x in licenses.TEMPLATES if n.startswith("BSD") and "THIS SOFTWARE IS" in x]
     for name, text in cases:
         score, found, _ = m.scan(text)
         assert (found, score >= 0.75) == (name, True), (name, found, score, text)
@@ -199,3 +211,22 @@ def test_draws_follow_the_weights(spark):
     total = sum(math.exp(w) for w in weights.values())
     for i, w in weights.items():
         assert drawn.get(i, 0) == pytest.approx(math.exp(w) / total, abs=0.03)
+
+
+def test_cosine_against_brute_force():
+    """Weights, cosines and the best template by plain vectors over all words."""
+    rnd = random.Random(15)
+    names = [f"t{i}" for i in range(8)]
+    templates = tuple((n, " ".join(rnd.choice(["licence", "a", "b", "c", "d", "e", "f"]) for _ in range(rnd.randint(3, 9))) + " license") for n in names)
+    m = licenses.Matcher(templates)
+    bags = [collections.Counter(t.split()) for _, t in templates]
+    weight = lambda w: math.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1
+    for _ in range(100):
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))] + ["license"]
+        bag = collections.Counter(words)
+        cosines = []
+        for b in bags:
+            dot = sum(bag[w] * b[w] * weight(w) ** 2 for w in bag)
+            cosines.append(dot / math.sqrt(sum((n * weight(w)) ** 2 for w, n in bag.items()) * sum((n * weight(w)) ** 2 for w, n in b.items())))
+        score, name = m.best(" ".join(words))
+        assert score == pytest.approx(max(cosines)) and cosines[names.index(name)] == pytest.approx(max(cosines))
