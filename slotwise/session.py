@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
     return (
@@ -26,11 +29,13 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, a local one."""
+    """The shared folder named by spark.checkpoint.dir; a folder of this machine's only where that is unset and the master is local."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         set_dir = sc._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="slotwise-")
         if "://" not in folder and not folder.startswith("file:"):
             folder = Path(folder).absolute().as_uri()
@@ -53,8 +58,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let executors import this package wherever the driver found it."""
+    """Let executors import this package wherever the driver found it, and take Arrow batches of 2,000 rows unless the session names a number."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default, some 35 MB of documents, held several times over by each task
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, "_slotwise_shipped", False):
         return
     top = Path(__file__).resolve().parent
