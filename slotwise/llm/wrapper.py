@@ -232,13 +232,11 @@ def leaves(root: Node) -> list[Node]:
     return [x for x in nodes_of(root) if x.tag == "#text"]
 
 
-def _plain(x: Node) -> bool:
-    """A run of text, or a block of one run or of nothing."""
-    return not x.kids or len(x.kids) == 1 and x.kids[0].tag == "#text"
-
-
 class Alignment:
-    """An order-preserving alignment of two trees with most weight (simple tree matching): 1 a pair of nodes, 1 more for runs of equal text."""
+    """An order-preserving alignment of two trees with most weight (simple tree matching): 1 a pair of nodes, 1 more for runs of equal text.
+
+    Regions dropped for their element or role are aligned as a whole, not inside, as nothing in them is ever used.
+    """
 
     def __init__(self, a: Node, b: Node):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be deep; Python's own frames are on the heap
@@ -249,7 +247,7 @@ class Alignment:
         while todo:
             x, y = todo.pop()
             self.pairs.append((x, y))
-            if x.kids and y.kids:
+            if x.kids and y.kids and x.drop < 2:
                 todo += [(x.kids[i], y.kids[j]) for i, j in self.children(x, y)[1]]
 
     def match(self, x: Node, y: Node) -> int:
@@ -257,6 +255,8 @@ class Alignment:
             return 0
         if x.tag == "#text":
             return 1 + (x.text == y.text)
+        if x.drop == 2 or not x.kids or not y.kids:
+            return 1
         return 1 + self.children(x, y)[0]
 
     def children(self, x: Node, y: Node) -> tuple[int, list[tuple[int, int]]]:
@@ -283,30 +283,31 @@ class Alignment:
         return best[m][n], _back(best, weight, m, n)
 
     def large(self, p: list[Node], q: list[Node]) -> tuple[int, list[tuple[int, int]]]:
-        """As small, a row at a time; equal runs and paragraphs are told by numbers."""
+        """As small, with rows as arrays; labels and texts of runs and paragraphs are told by numbers."""
         number: dict[str, int] = {}
-        n_of = lambda s: number.setdefault(s, len(number))
-        text = lambda x: n_of("t" + (x.text if x.tag == "#text" else x.kids[0].text)) if x.tag == "#text" or x.kids else -1
-        labels = np.array([n_of("l" + y.label) for y in q])
-        plain = np.array([_plain(y) for y in q])
-        said = np.array([text(y) if f else -2 for y, f in zip(q, plain, strict=True)])
-        complex_ = np.flatnonzero(~plain)
-
-        def weights(i: int, lo: int, hi: int) -> np.ndarray:
-            x = p[i]
-            same = labels[lo:hi] == n_of("l" + x.label)
-            if not _plain(x):
-                w = np.zeros(hi - lo, np.int64)
-                for j in np.flatnonzero(same):
-                    w[j] = self.match(x, q[lo + j])
-                return w
-            t = text(x)
-            if x.tag == "#text":
-                return same * (1 + (said[lo:hi] == t))
-            w = same * (1 + ((said[lo:hi] >= 0) & (t >= 0)) * (1 + (said[lo:hi] == t)))
-            for j in complex_[np.searchsorted(complex_, lo) : np.searchsorted(complex_, hi)]:
-                if same[j - lo]:
-                    w[j - lo] = self.match(x, q[j])
+
+        def facts(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Numbers of labels and texts, weight beyond the label's that equal texts can add, and places of nodes that aren't plain."""
+            rows = []
+            for i, x in enumerate(nodes):
+                run = x if x.tag == "#text" else x.kids[0] if len(x.kids) == 1 and x.kids[0].tag == "#text" and x.drop < 2 else None
+                text = -1 if run is None else number.setdefault(run.text, len(number))
+                rows.append((number.setdefault(f"\0{x.label}", len(number)), text, run is not None and run is not x, i if x.kids and run is None and x.drop < 2 else -1))
+            label, text, nested, odd = (np.array(c) for c in zip(*rows, strict=True))
+            return label, text, nested.astype(np.int64), odd[odd >= 0]
+
+        (p_label, p_text, p_nested, p_odd), (q_label, q_text, q_nested, q_odd) = facts(p), facts(q)
+
+        def weights(a: int, b: int, lo: int, hi: int) -> np.ndarray:
+            same = p_label[a:b, None] == q_label[lo:hi]
+            w = same * (1 + (p_nested[a:b, None] & q_nested[lo:hi]) + ((p_text[a:b, None] == q_text[lo:hi]) & (p_text[a:b, None] >= 0)))
+            rows, columns = p_odd[np.searchsorted(p_odd, a) : np.searchsorted(p_odd, b)], q_odd[np.searchsorted(q_odd, lo) : np.searchsorted(q_odd, hi)]
+            for i in rows:
+                for j in np.flatnonzero(same[i - a]):
+                    w[i - a, j] = self.match(p[i], q[lo + j])
+            for j in columns:
+                for i in np.flatnonzero(same[:, j - lo]):
+                    w[i, j - lo] = self.match(p[a + i], q[j])
             return w
 
         def step(above: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -322,7 +323,7 @@ class Alignment:
             if a == b or lo == hi:
                 continue
             if b - a == 1 or (b - a) * (hi - lo) <= _CELLS:
-                kept = [weights(i, lo, hi) for i in range(a, b)]
+                kept = weights(a, b, lo, hi)
                 best = [np.zeros(hi - lo + 1, np.int64)]
                 for w in kept:
                     best.append(step(best[-1], w))
@@ -331,10 +332,10 @@ class Alignment:
             middle = (a + b) // 2  # the best place to part the other list, from both ends
             first = np.zeros(hi - lo + 1, np.int64)
             for i in range(a, middle):
-                first = step(first, weights(i, lo, hi))
+                first = step(first, weights(i, i + 1, lo, hi)[0])
             second = np.zeros(hi - lo + 1, np.int64)
             for i in range(b - 1, middle - 1, -1):
-                second = step(second, weights(i, lo, hi)[::-1])
+                second = step(second, weights(i, i + 1, lo, hi)[0, ::-1])
             cut = lo + int(np.argmax(first + second[::-1]))
             todo += [(a, middle, lo, cut), (middle, b, cut, hi)]
         chosen.sort()
