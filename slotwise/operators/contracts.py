@@ -32,6 +32,12 @@ def core_columns(columns: list[str], core: list[str], kinds: tuple[str, ...] = (
     return [c for c in columns if own(c, core) or own(c, sensors) and any(c.endswith(f"_{k}") for k in kinds)]
 
 
+def by_priority(columns: list[str], first: list[str], words: tuple[str, ...], most: int) -> list[str]:
+    """At most `most` columns: those in first, then those whose names hold one of the words, then the rest, each in table order."""
+    said = [c for c in columns if any(w in c.lower() for w in words)]
+    return list(dict.fromkeys([*[c for c in first if c in columns], *said, *columns]))[:most]
+
+
 def check_predictions(df: DataFrame, steps: list[int], expected: int) -> DataFrame:
     """One row of findings on predictions (series, b, h, p): rows, missing, infinite, negative and repeated ones, steps and origins that lack."""
     key = ["series", "b", "h"]

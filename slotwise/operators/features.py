@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotwise.functions import time as t
 from slotwise.operators.grid import by_time
@@ -57,30 +59,33 @@ def hampel(df: DataFrame, n: int = 96, width: float = 8.0, value: str = "v", out
     return df.withColumn(out, F.when(far & (F.col("_mad") > 0), F.col("_median")).otherwise(F.col(value))).drop("_past", "_median", "_mad")
 
 
-def ema(df: DataFrame, span: int, value: str = "v", out: str | None = None, tolerance: float = 1e-17) -> DataFrame:
-    """Exponential average y = (1 - a) y + a x from the series' first row, a = 2 / (span + 1).
+def ema(df: DataFrame, spans: list[int], value: str = "v") -> DataFrame:
+    """Columns ema_<span>: exponential averages y = (1 - a) y + a x from the series' first row, a = 2 / (span + 1), all in one pass a series."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"ema_{s}", T.DoubleType()) for s in spans]])
 
-    Folded over as many rows back as weigh more than `tolerance`, at most the whole series.
-    """
-    a = 2.0 / (span + 1)
-    rows = math.ceil(math.log(tolerance) / math.log(1 - a))
-    w = by_time().rowsBetween(-rows, 0)
-    fold = F.aggregate(F.collect_list(value).over(w), F.lit(None).cast("double"), lambda y, x: F.coalesce((1 - a) * y + a * x, x))
-    return df.withColumn(out or f"ema_{span}", fold)
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        return pdf.assign(**{f"ema_{s}": pdf[value].ewm(span=s, adjust=False, ignore_na=True).mean() for s in spans})[schema.names]
 
+    return df.groupBy("series").applyInPandas(average, schema)
 
-def ema_with_gaps(values: Column, span: float) -> Column:
-    """Exponential average of an array with NULLs: the old weight decays across gaps; NULL before the first value."""
-    a = 2.0 / (span + 1)
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
 
-    def step(s: Column, x: Column) -> Column:
-        decayed = F.when(s["y"].isNull(), F.lit(1.0)).otherwise(s["w"] * (1 - a))
-        seen = F.struct(F.when(s["y"].isNull(), x).otherwise((decayed * s["y"] + a * x) / (decayed + a)).alias("y"), F.lit(1.0).alias("w"))
-        gap = F.struct(s["y"].alias("y"), decayed.alias("w"))
-        return F.when(x.isNull(), gap).otherwise(seen)
+class GapAverage:
+    """Exponential average of values with gaps (NaN): the old weight decays across gaps; NaN before the first value."""
 
-    return F.aggregate(values, start, step, lambda s: s["y"])
+    def __init__(self, span: float, mean: float = math.nan, weight: float = 1.0, n: int = 0):
+        self.a, self.mean, self.weight, self.n = 2.0 / (span + 1), mean, weight, n
+
+    def add(self, x: float) -> float:
+        if math.isnan(x):
+            if self.n:
+                self.weight *= 1 - self.a
+        elif not self.n:
+            self.mean, self.n = x, 1
+        else:
+            old = self.weight * (1 - self.a)
+            self.mean, self.weight, self.n = (old * self.mean + self.a * x) / (old + self.a), 1.0, self.n + 1
+        return self.mean
 
 
 def calendar(df: DataFrame, at: str = "b", prefix: str = "") -> DataFrame:
@@ -142,3 +147,14 @@ def recency_weights(df: DataFrame, cutoff: Column, half_life_days: float, partit
     age = (t.micros(cutoff) - t.micros(F.col("b"))) / 86_400e6
     raw = F.pow(F.lit(2.0), -age / half_life_days)
     return df.withColumn("_w", raw).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy(*partition))).drop("_w")
+
+
+def shares_of_total(wide: DataFrame, part: str, total: str, default: float) -> DataFrame:
+    """What others make of the total, and the part's share of it: carried on where it can't be told, `default` before that, within [0, 1]."""
+    ratio = F.col(f"`{part}`") / F.nullif(F.col(f"`{total}`"), F.lit(0.0))
+    share = F.coalesce(F.last(ratio, ignorenulls=True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), F.lit(default))  # one row a slot
+    return wide.withColumns({f"{total}_other": F.greatest(F.col(f"`{total}`") - F.col(f"`{part}`"), F.lit(0.0)), f"{part}_share": F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))})
+
+
+def suffixed(df: DataFrame, columns: list[str], suffix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}{suffix}" for c in columns})

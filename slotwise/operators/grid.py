@@ -48,9 +48,10 @@ def resample(obs: DataFrame, how: str = "mean", step_us: int = t.STEP_US) -> Dat
     return keyed.groupBy("series", "b").agg(value.alias("raw"))
 
 
-def full_grid(slots: DataFrame, step_us: int = t.STEP_US) -> DataFrame:
-    """Every series at every slot from the first to the last of all; raw is NULL in gaps."""
-    span = slots.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))  # one row
+def full_grid(slots: DataFrame, step_us: int = t.STEP_US, until: str | None = None) -> DataFrame:
+    """Every series at every slot from the first to the last of all, or to `until` if that is later; raw is NULL in gaps."""
+    last = F.max("b") if until is None else F.greatest(F.max("b"), F.lit(until).cast("timestamp_ntz"))
+    span = slots.agg(F.min("b").alias("lo"), last.alias("hi"))  # one row
     names = slots.select("series").distinct().crossJoin(F.broadcast(span))
     every = names.select("series", F.explode(F.sequence("lo", "hi", F.expr(f"interval {step_us // 1_000_000} seconds"))).alias("b"))
     return every.join(slots, ["series", "b"], "left")
@@ -107,6 +108,14 @@ def rolling_origins(grid: DataFrame, last: int | None = None, since: str | None
     return slots.orderBy(F.desc("b")).limit(last) if last else slots
 
 
+def corner_origins(df: DataFrame, by: list[str], at: str = "b") -> DataFrame:
+    """First, middle and last row of each group by time: the ones that replays are checked on."""
+    w = Window.partitionBy(*by)
+    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(at))
+    x = df.withColumns({"_n": n, "_i": i}).where("_i in (1, _n div 2 + 1, _n)")
+    return x.withColumn("corner", F.when(F.col("_i") == 1, "first").when(F.col("_i") == F.col("_n"), "last").otherwise("middle")).drop("_n", "_i")
+
+
 def profile_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, range of time and missing values of each column, in one pass."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("b").alias("first_slot"), F.max("b").alias("last_slot"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in columns])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import time as t
 from slotwise.operators import features
 from slotwise.operators.grid import by_time, fill_both_ways
+from slotwise.operators.quality import content_hash
 
 DAY, WEEK = t.SLOTS_PER_DAY, 7 * t.SLOTS_PER_DAY
 
@@ -152,6 +154,38 @@ def ridge(train: DataFrame, by: list[str], x: list[str], y: str, alpha: float =
     return gram(train, by, x, y, weight).select(*by, solve("sums").alias("_f")).select(*by, "_f.*")
 
 
+def save_fit(fit: DataFrame, path: str, columns: list[str], settings: dict) -> None:
+    """Fitted parameters as a table, with the columns and settings that they belong to."""
+    stated = json.dumps({"columns": columns, "settings": settings}, sort_keys=True)
+    fit.withColumn("_facts", F.lit(stated)).write.parquet(path)
+
+
+def load_fit(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A saved fit, and {columns, settings}."""
+    kept = spark.read.parquet(path)
+    first = kept.select("_facts").first()
+    return kept.drop("_facts"), json.loads(first["_facts"]) if first else {"columns": [], "settings": {}}
+
+
+def warm_start(spark: SparkSession, path: str, train: DataFrame, columns: list[str], settings: dict, make) -> DataFrame:
+    """The fit kept under path if it was made from the same rows, columns and settings (else an error), or a new one, which is kept."""
+    rows = content_hash(train.select(*sorted(train.columns))).first()
+    facts = settings | {"rows": f"{rows['n_rows']}:{rows['hash']}"}
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(to):
+        fit, known = load_fit(spark, path)
+        if known != {"columns": columns, "settings": facts}:
+            raise ValueError("the kept fit is of other rows, columns or settings")
+        return fit
+    save_fit(make(), path, columns, facts)
+    return load_fit(spark, path)[0]
+
+
+def estimators(slot: object) -> tuple:
+    """A member's fits, however they were kept: none, one, or a list of seeds' fits with gaps."""
+    return () if slot is None else tuple(x for x in slot if x is not None) if isinstance(slot, (list, tuple)) else (slot,)
+
+
 def linear(df: DataFrame, fit: DataFrame, by: list[str], x: list[str]) -> Column:
     """Prediction column for df joined with fit (intercept, coefficients)."""
     return sum((F.col("coefficients")[i] * F.col(c).cast("double") for i, c in enumerate(x)), F.col("intercept"))

@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.functions import time as t
 from slotwise.operators.grid import by_time
+from slotwise.session import written
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], n_bins: int = 4096) -> DataFrame:
+    """Rows by, quantiles: exact quantiles of each group, linear between neighbours, NULLs left out.
+
+    Distinct values are counted first, with map-side sums. Counts of bins of equal width tell which bins hold the
+    wanted ranks; only values of these are put in order, so no task holds a group.
+    """
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "distinct-values")
+    span = counts.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_all"))
+    wide = F.col("_hi") - F.col("_lo")
+    binned = counts.join(span, by).withColumn("_bin", F.when(wide > 0, F.least(F.lit(n_bins - 1), F.floor((F.col("_x") - F.col("_lo")) / wide * n_bins))).otherwise(0).cast("int"))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in_bin"), F.first("_all").alias("_all"))
+    bins = bins.withColumn("_before", F.sum("_in_bin").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("_in_bin"))  # at most n_bins rows a group
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("_all") - 1)).alias("at")) for i, s in enumerate(shares)])
+    ranks = bins.withColumn("_w", F.explode(wanted)).withColumn("_rank", F.explode(F.array(F.floor("_w.at"), F.ceil("_w.at"))))
+    ranks = ranks.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_in_bin"))).select(*by, "_bin", "_before", F.col("_w.i").alias("_i"), F.col("_w.at").alias("_at"), "_rank").distinct()
+    held = binned.join(ranks.select(*by, "_bin", "_before").distinct(), [*by, "_bin"])
+    held = held.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_x")))
+    found = held.select(*by, "_bin", "_x", "_to").join(ranks.drop("_before"), [*by, "_bin"]).where(F.col("_to") > F.col("_rank")).groupBy(*by, "_i", "_at", "_rank").agg(F.min("_x").alias("_x"))
+    each = found.groupBy(*by, "_i", "_at").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    each = each.select(*by, "_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("_q"))
+    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
 
 
 def bounds(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group [0, max(q99.9, q3 + 6 IQR, 1)], with exact quantiles."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.999))).alias("_q"))
+    q = quantiles(df, [by], value, [0.25, 0.75, 0.999]).withColumnRenamed("quantiles", "_q")
     return q.select(by, F.lit(0.0).alias("low"), F.greatest(F.col("_q")[2], F.col("_q")[1] + 6 * (F.col("_q")[1] - F.col("_q")[0]), F.lit(1.0)).alias("high"))
 
 
@@ -21,7 +46,7 @@ def outside_to_null(df: DataFrame, dim: DataFrame, by: str, value: str) -> DataF
 
 def tukey_fence(df: DataFrame, by: list[str], value: str, width: float = 1.5) -> DataFrame:
     """Rows by, fence_low, fence_high, middle; a degenerate spread gives the median."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75]).withColumnRenamed("quantiles", "_q")
     iqr = F.col("_q")[2] - F.col("_q")[0]
     return q.select(*by, F.when(iqr > 0, F.col("_q")[0] - width * iqr).otherwise(F.col("_q")[1]).alias("fence_low"), F.when(iqr > 0, F.col("_q")[2] + width * iqr).otherwise(F.col("_q")[1]).alias("fence_high"), F.col("_q")[1].alias("middle"))
 
@@ -82,23 +107,25 @@ def duplicate_columns(df: DataFrame, key: list[str], columns: list[str]) -> Data
 
 def audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: n, missing, negative, zero, constant, z-scores over 3 and values beyond 1.5 IQR."""
-    long = df.unpivot([], columns, "column", "value").withColumn("value", F.col("value").cast("double"))
-    stats = long.groupBy("column").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    x = long.join(F.broadcast(stats), "column")
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    return x.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.count_if(F.col("value") < 0).alias("n_negative"),
-        F.count_if(F.col("value") == 0).alias("n_zero"),
-        F.coalesce(F.min("value") == F.max("value"), F.lit(True)).alias("is_constant"),
-        F.count_if(F.abs((F.col("value") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))) > 3).alias("n_z3"),
-        F.count_if((F.col("value") < F.col("_q")[0] - 1.5 * iqr) | (F.col("value") > F.col("_q")[1] + 1.5 * iqr)).alias("n_iqr"),
-    )
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    long = df.select(*[v.alias(c) for c, v in x.items()]).unpivot([], columns, "column", "value")
+    quartiles = {r["column"]: r["quantiles"] for r in quantiles(long, ["column"], "value", [0.25, 0.75]).collect()}  # a row a column
+    moments = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x.values())], *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(x.values())]).first()
+
+    def counts(i: int, c: str) -> Column:
+        v, m, s = x[c], moments[f"m{i}"], moments[f"s{i}"]
+        q1, q3 = quartiles.get(c, (None, None))
+        far = F.abs((v - F.lit(m)) / F.lit(s)) > 3 if s else F.lit(None).cast("boolean")
+        out = (v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1)) if q1 is not None else F.lit(None).cast("boolean")
+        same = F.coalesce(F.min(v) == F.max(v), F.lit(True))
+        return F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isNull()).alias("n_missing"), F.count_if(v < 0).alias("n_negative"), F.count_if(v == 0).alias("n_zero"), same.alias("is_constant"), F.count_if(far).alias("n_z3"), F.count_if(out).alias("n_iqr"))
+
+    # one wide pass: a row is read once, whatever the number of columns
+    return df.agg(F.array(*[counts(i, c) for i, c in enumerate(columns)]).alias("_c")).select(F.inline("_c"))
 
 
 def quantile_knots(df: DataFrame, by: str, value: str, count: int) -> DataFrame:
-    return df.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(i / (count - 1)) for i in range(count)])).alias("knots"))
+    return quantiles(df, [by], value, [i / (count - 1) for i in range(count)]).withColumnRenamed("quantiles", "knots")
 
 
 def quantile_transform(df: DataFrame, knots: DataFrame, by: str, value: str, out: str = "quantile") -> DataFrame:
@@ -128,3 +155,25 @@ def changed_cells(before: DataFrame, after: DataFrame, key: list[str], columns:
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """df; the query fails where ok is not true."""
     return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def delivered_audit(delivered: DataFrame, original: DataFrame, overall: DataFrame, recent: DataFrame, n_origins: int) -> DataFrame:
+    """Findings on a delivered table (series, b, value, outlier): rows, repeats, breaks of the grid, numbers that are none, cells outside
+    the union of both fences, repaired cells, and repaired ones whose original value (series, b, value) the recent fence calls normal."""
+    both = overall.join(recent.withColumnsRenamed({"fence_low": "_l", "fence_high": "_h", "middle": "_m"}), "series", "left")
+    fences = both.select("series", F.least("fence_low", "_l").alias("_low"), F.greatest("fence_high", "_h").alias("_high"), "_l", "_h")
+    x = delivered.join(original.select("series", "b", F.col("value").alias("_was")), ["series", "b"], "left").join(F.broadcast(fences), "series", "left")
+    step = (t.micros(F.col("b")) - t.micros(F.lag("b").over(by_time()))) / t.STEP_US
+    x = x.withColumn("_step", step)
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    found = x.groupBy("series").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("_step") == 0).alias("n_repeated"),
+        F.count_if(F.col("_step") > 1).alias("n_breaks"),
+        F.count_if(bad).alias("n_not_finite"),
+        F.count_if(~F.col("value").between(F.col("_low"), F.col("_high"))).alias("n_outside"),
+        F.count_if(F.col("outlier") == 1).alias("n_repaired"),
+        F.count_if((F.col("outlier") == 1) & F.col("_was").between(F.col("_l"), F.col("_h"))).alias("n_normal_repaired"),
+    )
+    ok = (F.col("n_rows") == n_origins) & (F.col("n_repeated") + F.col("n_breaks") + F.col("n_not_finite") + F.col("n_outside") + F.col("n_normal_repaired") == 0)
+    return found.withColumn("passed", ok)

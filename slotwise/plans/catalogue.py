@@ -183,10 +183,7 @@ def hampel_clean(spark, sf_dir):
 
 @query(f"WITH {GRID} SELECT series, b, {', '.join(f'{r(EMA(s))} AS ema_{s}' for s in (4, 8, 16))} FROM panel")
 def ema_multi(spark, sf_dir):
-    x = panel(spark, sf_dir)
-    for s in (4, 8, 16):
-        x = features.ema(x, s)
-    return rounded(x.drop("raw", "v"))
+    return rounded(features.ema(panel(spark, sf_dir), [4, 8, 16]).drop("raw", "v"))
 
 
 @query(f"WITH {GRID}, x AS (SELECT *, avg(v) OVER ({W} ROWS 95 PRECEDING) AS level, max(v) OVER ({W} ROWS 7 PRECEDING) AS peak FROM panel) SELECT series, b, {r('v / greatest(level, 1) - 1')} AS v_rel, {r('peak / greatest(level, 1) - 1')} AS peak_rel FROM x")

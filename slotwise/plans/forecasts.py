@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import time as t
 from slotwise.operators import blend, contracts, dispatch, features, members, validate
-from slotwise.plans.catalogue import AHEAD, CUTOFF, EMA, GRID, RANGE, SLOT, W, _ahead, at, observations, panel, query, r, rounded, table
+from slotwise.plans.catalogue import AHEAD, BUCKET, CUTOFF, EMA, GRID, OBS, RANGE, SLOT, W, _ahead, at, observations, panel, query, r, rounded, table
 from slotwise.session import scratch_path, ship_package, written
 
 STEPS = (1, 2, 4, 8)
@@ -15,7 +15,7 @@ X = ["v", "lag_1", "lag_4", "lag_96", "mean_8", "std_8"]
 
 
 def with_averages(p: DataFrame) -> DataFrame:
-    return features.ema(features.ema(p, 4), 16)
+    return features.ema(p, [4, 16])
 
 
 # -- members --
@@ -319,7 +319,7 @@ def best_member(spark, sf_dir):
     return rounded(x.withColumn("points", validate.score_points(F.col("mape"))))
 
 
-@query(None)
+@query(f"SELECT '{CUTOFF}' AS until, true AS same")
 def prefix_replay(spark, sf_dir):
     """Whether features of the rows before the cutoff change when later rows are taken away."""
     rows = observations(spark, sf_dir)
@@ -327,7 +327,7 @@ def prefix_replay(spark, sf_dir):
     def decide(o: DataFrame) -> DataFrame:
         from slotwise.operators import grid
 
-        x = grid.fill(grid.full_grid(grid.resample(o, "sum")))
+        x = grid.fill(grid.full_grid(grid.resample(o, "sum"), until=CUTOFF))  # the last slots may hold no event
         return features.rolling(features.lags(x, [1, 96]), 8).select("series", "b", "raw", "v", "lag_1", "lag_96", "mean_8")
 
     same = validate.replay(decide, rows, "ts", CUTOFF, "b")
@@ -390,17 +390,18 @@ def dispatch_audit(spark, sf_dir):
 # -- files and streams --
 
 
-@query(None)
+@query(f"WITH {GRID}, {AHEAD((1, 8))} SELECT series, b, h, {r('v')} AS p FROM labelled")
 def export_roundtrip(spark, sf_dir):
-    """Wide predictions written as CSV at once, read back, and listed in a manifest."""
+    """Wide predictions written as CSV that appears at once, and read back as long rows."""
     from slotwise.sources import export
 
-    made = export.wide_predictions(member_table(spark, sf_dir, (1, 8), ("persistence",)).select("series", "b", "h", "p"), ["click", "view"], [1, 8])
+    names = sorted(r["series"] for r in observations(spark, sf_dir).select("series").distinct().collect())  # a row a series
+    made = export.wide_predictions(member_table(spark, sf_dir, (1, 8), ("persistence",)).select("series", "b", "h", "p"), names, [1, 8])
     path = scratch_path(spark, "export")
-    export.write_folder(export.formatted(made).coalesce(1), path)
-    back = spark.read.csv(path, header=True, inferSchema=False)
-    files = export.manifest(spark, path).where(F.col("name").endswith(".csv"))
-    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("datetime").alias("n_times")).crossJoin(F.broadcast(files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("n_bytes"))))
+    export.write_folder(export.formatted(made), path)
+    back = spark.read.csv(path, header=True)
+    long = back.unpivot(["datetime"], [c for c in back.columns if c != "datetime"], "_k", "p")
+    return long.select(F.regexp_extract("_k", r"^(.*)_t\+", 1).alias("series"), F.col("datetime").cast("timestamp_ntz").alias("b"), (F.regexp_extract("_k", r"(\d+)_pred$", 1).cast("int") / 15).cast("int").alias("h"), F.col("p").cast("double").alias("p"))
 
 
 @query(None)
@@ -411,7 +412,7 @@ def manifest_verify(spark, sf_dir):
     return export.verify_manifest(export.manifest(spark, f"{sf_dir}/region.parquet"), stated)
 
 
-@query(None)
+@query("SELECT 'sensor' AS series, count(value) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM events")
 def csv_scan(spark, sf_dir):
     from slotwise.sources import tables
 
@@ -421,7 +422,7 @@ def csv_scan(spark, sf_dir):
     return tables.observations(spark, path).groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query(None)
+@query(f"WITH {OBS}, n AS (SELECT event_type AS series, {BUCKET} AS b, count(*) AS n FROM events GROUP BY 1, 2) SELECT obs.series, obs.b, n.n, raw FROM obs JOIN n ON n.series = obs.series AND n.b = obs.b WHERE obs.b + INTERVAL 45 MINUTE <= (SELECT max(b) FROM obs)")
 def stream_slots(spark, sf_dir):
     """The right-closed resampling as a stream over the events' file, run to its end."""
     from slotwise.streaming import online
@@ -434,7 +435,7 @@ def stream_slots(spark, sf_dir):
     return spark.read.schema("series string, b timestamp_ntz, n long, raw double").parquet(path)
 
 
-@query(None)
+@query(f"SELECT series, h, b, p FROM ({_CAL})")
 def stream_calibration(spark, sf_dir):
     """Causal calibration as a stateful stream over forecasts, run to its end."""
     from slotwise.streaming import online
@@ -446,7 +447,7 @@ def stream_calibration(spark, sf_dir):
     stream = spark.readStream.schema("series string, h int, b timestamp, raw double, p double").parquet(source)
     running = online.calibrated_stream(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema("series string, h int, b timestamp, p double").parquet(path).select("series", "h", F.col("b").cast("timestamp_ntz").alias("b"), "p")
+    return spark.read.schema("series string, h int, b timestamp, p double").parquet(path).select("series", "h", F.col("b").cast("timestamp_ntz").alias("b"), F.round("p", 6).alias("p"))
 
 
 # -- contracts --
@@ -507,8 +508,8 @@ def stacked_member(spark, sf_dir):
     return done.select("series", "b", "h", F.lit("stacked").alias("member"), (F.col("member_mean") + F.col("p")).alias("p"))
 
 
-@query(None)
+@query(f"{_ALL}, g AS (SELECT series, h, avg(ape) AS m FROM scored WHERE member = 'persistence' GROUP BY 1, 2) SELECT 50.0::DOUBLE AS form_points, {r('greatest(0, 50 * (1 - avg(m)))')} AS accuracy_points FROM g")
 def rubric_score(spark, sf_dir):
     x = member_table(spark, sf_dir, only=("persistence",))
     mape = validate.macro_error(x, ["member"], ["series", "h"]).first()["macro_mape"]
-    return contracts.rubric(contracts.check_predictions(x, list(STEPS), 192), F.lit(mape))
+    return rounded(contracts.rubric(contracts.check_predictions(x, list(STEPS), 192), F.lit(mape)))
