@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from slotwise.functions import time as t
 from slotwise.operators import features
 from slotwise.operators.grid import by_time, fill_both_ways
-from slotwise.operators.quality import content_hash
+from slotwise.operators.quality import content_hash, quantiles
+from slotwise.session import written
 
 DAY, WEEK = t.SLOTS_PER_DAY, 7 * t.SLOTS_PER_DAY
 
@@ -95,6 +96,31 @@ def anchored(ahead: DataFrame, grid: DataFrame, levels: DataFrame) -> DataFrame:
     return _rows(x, "anchored_profile", F.coalesce(F.col("level") * F.col("_recent") / F.nullif(F.col("_now"), F.lit(0.0)), F.col("v")))
 
 
+def simple_members(ahead: DataFrame, grid: DataFrame, levels: DataFrame, coefficients: DataFrame, spans: list[int]) -> DataFrame:
+    """All members without a fit of their own as rows series, b, h, y, member, p: one wide row an origin and horizon, two lookups, one unpivot.
+
+    grid and ahead hold ema_<span>; what a member needs of the past stands in the origin's row before horizons multiply it.
+    """
+    past = {"_median": _median_of_past(8), "_mean": F.avg("v").over(features.previous(4)), "_d": F.coalesce(F.col("v") - F.lag("v").over(by_time()), F.lit(0.0))}
+    now = grid.withColumns({**past, "slot": t.slot_of_day(F.col("b"))}).join(F.broadcast(levels.withColumnRenamed("level", "_now")), ["series", "slot"], "left").select("series", "b", *past, "_now")
+    x = ahead.join(now, ["series", "b"])
+    x = lookup(x, grid, t.shift(F.col("target_ts"), -DAY), "_day", "raw")
+    x = lookup(x, grid, t.shift(F.col("target_ts"), -WEEK), "_week", "raw")
+    x = x.withColumn("slot", t.slot_of_day(F.col("target_ts"))).join(F.broadcast(levels), ["series", "slot"], "left").join(F.broadcast(coefficients), "series", "left")
+    day = F.coalesce("_day", "_median")
+    made = {
+        "persistence": F.col("v"),
+        **{f"ema_{s}": F.col(f"ema_{s}") for s in spans},
+        "seasonal": F.coalesce("_day", "v"),
+        "seasonal_blend": 0.72 * day + 0.18 * F.coalesce(F.col("_week"), day) + 0.10 * F.col("_median"),
+        "momentum": F.col("v") + F.col("phi") * F.pow("rho", F.col("h") - 1) * F.col("_d"),
+        "profile": F.coalesce("level", "v"),
+        "anchored_profile": F.coalesce(F.col("level") * F.col("_mean") / F.nullif(F.col("_now"), F.lit(0.0)), F.col("v")),
+    }
+    wide = x.select("series", "b", "h", "y", *[c.cast("double").alias(f"_p_{n}") for n, c in made.items()])
+    return wide.select("series", "b", "h", "y", *[F.col(f"_p_{n}").alias(n) for n in made]).unpivot(["series", "b", "h", "y"], list(made), "member", "p")
+
+
 def drift(ahead: DataFrame, labelled: DataFrame, cutoff: Column, strength: float = 0.5) -> DataFrame:
     """v (1 + strength * weighted median of relative changes), fitted per (series, h) on labels up to the cutoff."""
     x = labelled.where((F.col("target_ts") <= cutoff) & (F.col("y") > 0) & (F.col("v") > 0)).select("series", "h", (F.col("y") / F.col("v") - 1).alias("x"), F.col("v").alias("w"))
@@ -193,12 +219,13 @@ def linear(df: DataFrame, fit: DataFrame, by: list[str], x: list[str]) -> Column
 
 def robust_ridge(train: DataFrame, by: list[str], x: list[str], y: str, alpha: float = 100.0, rounds: int = 8) -> DataFrame:
     """Iteratively reweighted ridge towards least absolute error, floor max(.2, .15 median |residual|)."""
-    fit = ridge(train, by, x, y, alpha)
-    for _ in range(rounds):
-        residual = train.join(F.broadcast(fit), by).withColumn("_r", F.abs(F.col(y) - linear(train, fit, by, x)))
-        floor = residual.groupBy(*by).agg(F.greatest(0.15 * F.median("_r"), F.lit(0.2)).alias("_floor"))
+    train = written(train, "robust-rows")
+    fit = written(ridge(train, by, x, y, alpha), "robust-fit")
+    for _ in range(rounds):  # a fit is a row a group, written so that the plan of a round doesn't hold the rounds before
+        residual = train.join(F.broadcast(fit), by).withColumn("_r", F.abs(F.col(y) - linear(train, fit, by, x))).drop("intercept", "coefficients")
+        floor = quantiles(residual, by, "_r", [0.5]).select(*by, F.greatest(0.15 * F.col("quantiles")[0], F.lit(0.2)).alias("_floor"))
         weighed = residual.join(F.broadcast(floor), by).withColumn("_w", 1 / F.greatest("_r", "_floor"))
-        fit = ridge(weighed.drop("intercept", "coefficients"), by, x, y, alpha, F.col("_w"))
+        fit = written(ridge(weighed, by, x, y, alpha, F.col("_w")), "robust-fit")
     return fit
 
 
@@ -215,6 +242,25 @@ def local_ridge(train: DataFrame, by: list[str], x: list[str], y: str, state: st
     return [ridge(train, by, x, y, alpha), *[ridge(train, by, x, y, alpha, g / total) for g in gates]]
 
 
+def centres_of(train: DataFrame, state: str, count: int) -> tuple[list[float], float]:
+    """Centres at even quantiles of the state, and their mean distance as the gates' width."""
+    shares = [(i + 0.5) / count for i in range(count)]
+    q = quantiles(train.withColumn("_one", F.lit(1)), ["_one"], state, shares).first()["quantiles"]
+    return q, max((q[-1] - q[0]) / max(1, count - 1), 1e-9)
+
+
+def local_forecast(test: DataFrame, fits: list[DataFrame], by: list[str], x: list[str], state: str, centres: list[float], width: float, share: float = 0.8) -> DataFrame:
+    """test with p: (1 - share) of the global fit and share of the experts, each by its gate."""
+    parts = []
+    for i, fit in enumerate(fits):
+        test = test.join(F.broadcast(fit.withColumnsRenamed({"intercept": f"_i{i}", "coefficients": f"_c{i}"})), by, "left")  # a row a group
+        parts.append(sum((F.col(f"_c{i}")[k] * F.col(c).cast("double") for k, c in enumerate(x)), F.col(f"_i{i}")))
+    gates = [F.exp(-0.5 * F.pow((F.col(state) - c) / width, 2)) + 1e-12 for c in centres]
+    total = sum(gates[1:], gates[0])
+    local = sum((g / total * p for g, p in zip(gates, parts[1:], strict=True)), F.lit(0.0))
+    return test.withColumn("p", (1 - share) * parts[0] + share * local).drop(*[f"_{k}{i}" for i in range(len(fits)) for k in "ic"])
+
+
 def periodic_refit(labelled: DataFrame, by: list[str], x: list[str], y: str, every: int, alpha: float = 100.0) -> DataFrame:
     """Predictions series, b, h, p: each block of `every` origins uses a fit on labels that matured before its first origin.
 

@@ -295,11 +295,16 @@ def changed_cells(spark, sf_dir):
     return quality.changed_cells(p, p.withColumn("raw", F.when(F.col("raw").between(0, 400), F.col("raw"))), ["series", "b"], ["raw"])
 
 
-@query("SELECT DISTINCT event_type AS series, CAST(NULL AS VARCHAR) AS gas, 'other' AS role FROM events")
+_HEADS = ["BF", "bfg_main", "blast_furnace_1", "coke_oven_2", "cog", "co_line", "ldg", "converter_3", "air_heater_7", "mixed", "error"]
+_TAILS = ["", "_holder", "_into_gas_mixed", "_user_4", "_generator_use_gas", "_supply", "_temp"]
+
+
+@query(f"WITH s AS (SELECT h || t AS series, lower(h || t) AS n FROM (SELECT unnest({_HEADS!r}) AS h) CROSS JOIN (SELECT unnest({_TAILS!r}) AS t) UNION SELECT DISTINCT event_type, event_type FROM events), g AS (SELECT *, CASE WHEN n LIKE 'air\\_heater\\_%' ESCAPE '\\' OR contains(n, 'blast') OR regexp_matches(n, '(^|_)bf(g|_)') THEN 'blast_furnace' WHEN contains(n, 'coke') OR regexp_matches(n, '(^|_)co(g|_)') THEN 'coke' WHEN contains(n, 'converter') OR regexp_matches(n, '(^|_)ldg($|_)') THEN 'converter' WHEN contains(n, 'mixed') THEN 'mixed' END AS gas FROM s) SELECT series, gas, CASE WHEN gas IS NULL THEN 'other' WHEN contains(n, 'generator') AND contains(n, 'gas') OR contains(n, 'generator_use') THEN 'generator' WHEN contains(n, 'holder') OR contains(n, 'gasometer') THEN 'holder' WHEN contains(n, 'mixed') AND contains(n, 'into') THEN 'mixed_in' WHEN contains(n, 'user') OR contains(n, 'heater') OR contains(n, 'consume') THEN 'user' WHEN regexp_matches(n, '(blast_furnace|coke_oven|converter)_[0-9]+$') OR contains(n, 'produce') OR contains(n, 'generation') OR contains(n, 'output') OR contains(n, 'supply') THEN 'production' ELSE 'other' END AS role FROM g")
 def sensor_roles(spark, sf_dir):
     from slotwise.sources.tables import sensor_roles as roles
 
-    return roles(observations(spark, sf_dir).select("series").distinct())
+    names = spark.createDataFrame([(h + x,) for h in _HEADS for x in _TAILS], "series string").union(observations(spark, sf_dir).select("series")).distinct()
+    return roles(names)
 
 
 @query(None)

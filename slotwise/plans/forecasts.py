@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import time as t
 from slotwise.operators import blend, contracts, dispatch, features, members, validate
-from slotwise.plans.catalogue import AHEAD, BUCKET, CUTOFF, EMA, GRID, OBS, RANGE, SLOT, W, _ahead, at, observations, panel, query, r, rounded, table
+from slotwise.plans.catalogue import AHEAD, BUCKET, CUTOFF, EMA, GRID, OBS, RANGE, SLOT, W, _ahead, at, observations, origins, panel, query, r, rounded, table
 from slotwise.session import scratch_path, ship_package, written
 
 STEPS = (1, 2, 4, 8)
@@ -42,22 +42,11 @@ _ALL = f"{_A}, {_RECENT}, {_PROFILE}, {_AR}, {_EMAS}, every AS ({' UNION ALL '.j
 def member_table(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = STEPS, only: tuple[str, ...] | None = None) -> DataFrame:
     """series, b, h, member, p, y of the members that need no fit."""
     p = written(with_averages(panel(spark, sf_dir)), "panel")  # events are read and summed once, not once a member
-    ahead = _ahead(p, list(steps))
     levels = members.profile(p, t.shift(at(CUTOFF), -7 * 96), at(CUTOFF))
-    make = {
-        "persistence": lambda: members.persistence(ahead),
-        "averages": lambda: members.averages(ahead, [4, 16]),
-        "seasonal": lambda: members.seasonal(ahead, p),
-        "seasonal_blend": lambda: members.seasonal_blend(ahead, p),
-        "momentum": lambda: members.momentum(ahead, p, members.ar1(p, at(CUTOFF))),
-        "profile": lambda: members.diurnal(ahead, levels),
-        "anchored_profile": lambda: members.anchored(ahead, p, levels),
-    }
-    out = None
-    for k, f in make.items():
-        if only is None or k in only:
-            out = f() if out is None else out.unionByName(f())
-    return out.join(ahead.select("series", "b", "h", "y"), ["series", "b", "h"])
+    every = members.simple_members(_ahead(p, list(steps)), p, levels, members.ar1(p, at(CUTOFF)), [4, 16])
+    if only is not None:
+        every = every.where(F.col("member").isin([m for k in only for m in (("ema_4", "ema_16") if k == "averages" else (k,))]))
+    return every.select("series", "b", "h", "member", "p", "y")
 
 
 def _one(name: str):
@@ -140,29 +129,57 @@ def ridge_member(spark, sf_dir):
     return test.select("series", "b", "h", F.greatest(members.linear(test, fit, ["series", "h"], X), F.lit(0.0)).alias("p"), "y")
 
 
+def _tested(x: DataFrame) -> DataFrame:
+    return x.where(F.col("b") > at(CUTOFF))
+
+
 @query(None)
 def robust_ridge_member(spark, sf_dir):
-    return members.robust_ridge(_fit_rows(_training(spark, sf_dir, (8,))), ["series", "h"], X, "y", rounds=3)
+    x = _training(spark, sf_dir, (8,))
+    fit = members.robust_ridge(_fit_rows(x), ["series", "h"], X, "y")
+    test = _tested(x).join(F.broadcast(fit), ["series", "h"])
+    return test.select("series", "b", "h", F.greatest(members.linear(test, fit, ["series", "h"], X), F.lit(0.0)).alias("p"), "y")
 
 
 @query(None)
 def relative_ridge_member(spark, sf_dir):
-    return members.relative_ridge(_fit_rows(_training(spark, sf_dir)), ["series", "h"], X, "y", "v")
+    """Ridge on relative changes; the forecast is the origin's level times one and the change."""
+    x = _training(spark, sf_dir)
+    fit = members.relative_ridge(_fit_rows(x), ["series", "h"], X, "y", "v")
+    test = _tested(x).join(F.broadcast(fit), ["series", "h"])
+    level = F.greatest(F.col("v"), F.lit(1.0))
+    return test.select("series", "b", "h", F.greatest(level * (1 + members.linear(test, fit, ["series", "h"], X)), F.lit(0.0)).alias("p"), "y")
 
 
 @query(None)
 def local_ridge_member(spark, sf_dir):
-    fits = members.local_ridge(_fit_rows(_training(spark, sf_dir, (8,))), ["series", "h"], X, "y", "mean_8", [100.0, 200.0, 300.0, 400.0], 80.0)
-    out = None
-    for i, f in enumerate(fits):
-        f = f.withColumn("expert", F.lit(i))
-        out = f if out is None else out.unionByName(f)
-    return out
+    """Four experts around quantiles of the recent level, four fifths of the forecast, and a global fit."""
+    x = _training(spark, sf_dir, (8,))
+    train = written(_fit_rows(x), "local-rows")
+    centres, width = members.centres_of(train, "mean_8", 4)
+    fits = members.local_ridge(train, ["series", "h"], X, "y", "mean_8", centres, width)
+    made = members.local_forecast(_tested(x), fits, ["series", "h"], X, "mean_8", centres, width)
+    return made.select("series", "b", "h", F.greatest("p", F.lit(0.0)).alias("p"), "y")
+
+
+@query(None)
+def windowed_ridge_member(spark, sf_dir):
+    """The mean of ridges on the last 7, 21 and 60 days, newer rows weighing more."""
+    x = _training(spark, sf_dir, (8,))
+    train = features.recency_weights(_fit_rows(x), at(CUTOFF), 14.0, ["series", "h"])
+    parts = None
+    test = _tested(x)
+    for days in (7, 21, 60):
+        fit = members.ridge(train.where(F.col("b") > t.shift(at(CUTOFF), -96 * days)), ["series", "h"], X, "y", 100.0, F.col("weight"))
+        own = test.join(F.broadcast(fit), ["series", "h"])
+        own = own.select("series", "b", "h", "y", members.linear(own, fit, ["series", "h"], X).alias("p"))
+        parts = own if parts is None else parts.unionByName(own)
+    return parts.groupBy("series", "b", "h").agg(F.greatest(F.avg("p"), F.lit(0.0)).alias("p"), F.first("y").alias("y"))
 
 
 @query(None)
 def online_refit(spark, sf_dir):
-    x = _training(spark, sf_dir, (8,)).where(F.col("b") >= at("2024-01-14 00:00:00"))
+    x = _training(spark, sf_dir, (8,))
     return members.periodic_refit(x, ["series", "h"], X, "y", 24)
 
 
@@ -367,24 +384,38 @@ def surplus_forecast(spark, sf_dir):
     return rounded(dispatch.surplus_forecast(panel(spark, sf_dir), at(CUTOFF)))
 
 
-def _planned(spark, sf_dir) -> DataFrame:
-    ship_package(spark)
-    p = panel(spark, sf_dir).where("series = 'click'").where(F.col("b").between(at("2024-01-28 00:00:00"), at("2024-01-29 23:45:00")))
-    x = p.withColumns({"plan": F.date_format("b", "yyyy-MM-dd"), "step": t.slot_of_day(F.col("b")), "inflow": 20_000 + 40 * F.col("v"), "price": t.time_of_use_price(F.col("b"))})
-    return dispatch.plan(x, dispatch.Plant())
+def _steps(spark, sf_dir) -> DataFrame:
+    """Each series' gas over the two days of origins: a plan for each series and day."""
+    p = origins(panel(spark, sf_dir))
+    plan = F.concat_ws(" ", "series", F.date_format("b", "yyyy-MM-dd"))
+    return p.withColumns({"plan": plan, "step": t.slot_of_day(F.col("b")), "inflow": 20_000 + 40 * F.col("v"), "price": t.time_of_use_price(F.col("b"))})
 
 
 @query(None)
 def dispatch_plan(spark, sf_dir):
-    return _planned(spark, sf_dir)
+    ship_package(spark)
+    return dispatch.plan(_steps(spark, sf_dir), dispatch.Plant())
 
 
 @query(None)
 def dispatch_audit(spark, sf_dir):
-    done = _planned(spark, sf_dir)
-    plant = dispatch.Plant()
-    flat = dispatch.revenue(done.withColumn("mean", F.avg("price").over(Window.partitionBy("plan"))), plant, "mean").withColumnRenamed("revenue", "flat_revenue")
-    return dispatch.mass_balance(done, plant).join(dispatch.revenue(done, plant), "plan").join(flat, "plan")
+    """Violations, revenue, the gap to the bound, and what a plan made for a flat tariff earns at the real prices."""
+    ship_package(spark)
+    x, plant = written(_steps(spark, sf_dir), "steps"), dispatch.Plant()
+    done = written(dispatch.plan(x, plant), "plans")
+    flat = x.withColumn("price", F.avg("price").over(Window.partitionBy("plan")))
+    flat = dispatch.plan(flat, plant).drop("price").join(x.select("plan", "step", "price"), ["plan", "step"])
+    gap = done.groupBy("plan").agg(((F.first("bound") - F.first("value")) / F.first("bound")).alias("gap"))
+    found = dispatch.mass_balance(done, plant).join(dispatch.revenue(done, plant), "plan").join(gap, "plan")
+    return found.join(dispatch.revenue(flat, plant).withColumnRenamed("revenue", "flat_revenue"), "plan")
+
+
+@query("SELECT DISTINCT e.event_type AS series, d.day, 0.0::DOUBLE AS balance_error, 0.0::DOUBLE AS band_error, 0.0::DOUBLE AS end_error, 0::BIGINT AS n_infeasible FROM events e CROSS JOIN (VALUES ('2024-01-28'), ('2024-01-29')) d(day)")
+def dispatch_feasible(spark, sf_dir):
+    """What an audit must find of every plan: no violation of balance, band, end stock or units."""
+    found = dispatch.mass_balance(dispatch_plan(spark, sf_dir), dispatch.Plant())
+    near = lambda c: F.when(F.col(c) > 1e-6, F.col(c)).otherwise(F.lit(0.0)).alias(c)
+    return found.select(F.split("plan", " ")[0].alias("series"), F.split("plan", " ")[1].alias("day"), near("balance_error"), near("band_error"), near("end_error"), "n_infeasible")
 
 
 # -- files and streams --

@@ -13,7 +13,7 @@ from slotwise.functions import time as t
 #: Accepted encodings, file prefixes and names of time columns, in order of preference.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 PREFIXES = ("", "Pre_", "Pre_test_")
-TIME_NAMES = ("datetime", "timestamp", "time", "date", "时间", "日期")
+TIME_NAMES = ("datetime", "timestamp", "time", "date", "时间", "日期", "datatime", "collecttime", "recordtime")
 
 
 def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
@@ -109,9 +109,12 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
 def sensor_roles(names: DataFrame, name: str = "series") -> DataFrame:
     """Gas and role of each sensor from its name."""
     n = F.lower(F.col(name))
-    gas = F.when(n.contains("coke"), "coke").when(n.contains("converter"), "converter").when(n.contains("blast"), "blast_furnace").when(n.contains("mixed"), "mixed")
-    role: Column = F.when(n.contains("holder"), "holder").when(n.contains("into") & n.contains("mixed"), "mixed_in").when(n.contains("generator"), "generator").when(n.contains("user") | n.contains("heater"), "user").when(gas.isNotNull(), "production")
-    return names.withColumns({"gas": gas, "role": F.coalesce(role, F.lit("other"))})
+    has = lambda *words: F.greatest(*[n.contains(w) for w in words], F.lit(False))
+    # fixed values: short names of the gases, and heaters that burn blast furnace gas
+    gas = F.when(n.startswith("air_heater_") | has("blast") | n.rlike("(^|_)bf(g|_)"), "blast_furnace").when(has("coke") | n.rlike("(^|_)co(g|_)"), "coke").when(has("converter") | n.rlike("(^|_)ldg($|_)"), "converter").when(has("mixed"), "mixed")
+    role: Column = F.when(has("generator_use") | has("generator") & has("gas"), "generator").when(has("holder", "gasometer"), "holder").when(has("mixed") & has("into"), "mixed_in")
+    role = role.when(has("user", "heater", "consume"), "user").when(n.rlike(r"(blast_furnace|coke_oven|converter)_\d+$") | has("produce", "generation", "output", "supply"), "production")
+    return names.withColumns({"gas": gas, "role": F.when(gas.isNotNull(), F.coalesce(role, F.lit("other"))).otherwise(F.lit("other"))})
 
 
 def read_tariff(spark: SparkSession, path: str) -> DataFrame:
