@@ -11,7 +11,7 @@ over fillings, bin by bin with backtracking: around the largest piece left all u
 enumerated, least waste first; a branch is cut when its waste or the lower bound of what is left cannot
 beat the incumbent, or when its pieces left were met before with no more sequences. Up to `tail` sequences
 are searched as a whole; of more, those of most waste and some others in turn are packed anew, as long as
-that saves one. `nodes` bounds each search; `fewest` tells whether the number of sequences is proved least.
+that saves one. `nodes` bounds each of these searches, `budget` all of them; `fewest` tells whether the number of sequences is proved least.
 
 Null text is empty and gives the end id alone. Equal rows get sequences of their own places.
 An empty table gives no rows.
@@ -215,11 +215,16 @@ def dominated(filling: tuple[int, ...], slack: int, others: list[int]) -> bool:
             sums[t + s] = max(sums.get(t + s, 0), n + 1)
         if len(sums) > 4000:  # a test of fewer sums still only finds what is dominated
             break
-    return any(any(t < x <= t + slack or t == x and n > 1 for t, n in sums.items() if n) for x in others)
+    order = sorted(t for t in sums if t)
+    for x in others:
+        i = bisect.bisect_left(order, x - slack)
+        if i < len(order) and (order[i] < x or order[i] == x and sums[x] > 1):
+            return True
+    return False
 
 
-def fillings(counts: dict[int, int], largest: int, capacity: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
-    """Undominated fillings around one piece `largest`, least waste first, and whether these are all (at most `most` are looked at)."""
+def fillings(counts: dict[int, int], largest: int, capacity: int, most: int) -> tuple[list[tuple[int, ...]], bool, int]:
+    """Undominated fillings around one piece `largest`, least waste first, whether these are all, and how many were looked at, at most `most`."""
     room = capacity - largest
     sizes = sorted((s for s, n in counts.items() if s <= room and n - (s == largest) > 0), reverse=True)
     available = [counts[s] - (s == largest) for s in sizes]
@@ -241,28 +246,32 @@ def fillings(counts: dict[int, int], largest: int, capacity: int, most: int) ->
         for n in range(min(available[k], free // sizes[k]) + 1):  # the last pushed, with most pieces, comes first
             todo.append((k + 1, free - n * sizes[k], chosen + (sizes[k],) * n))
     found.sort(key=lambda x: (x[0], len(x[1])))
-    return [c for _, c in found], looked <= most
+    return [c for _, c in found], looked <= most, looked
 
 
-def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int, width: int = 5000) -> tuple[list[tuple[int, ...]] | None, bool]:
-    """Bins of a packing with fewer than `best`, the fewest that the search meets, or None; and whether the search ended by itself."""
+def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int, width: int = 2000) -> tuple[list[tuple[int, ...]] | None, bool, int]:
+    """Bins of a packing with fewer than `best`, the fewest that the search meets, or None; whether the search ended by itself; nodes left.
+
+    A node is a filling looked at; at most `width` are, around one piece.
+    """
     total = sum(s * n for s, n in counts.items())
     answer: list[tuple[int, ...]] | None = None
-    whole, left = True, nodes
+    whole, left = True, nodes  # left: nodes not used yet
     seen: dict[tuple, int] = {}
     stack: list[tuple[dict[int, int], Iterator[tuple[int, ...]], int]] = []
     path: list[tuple[int, ...]] = []
 
     def options(state: dict[int, int]) -> Iterator[tuple[int, ...]]:
-        nonlocal whole
+        nonlocal whole, left
         largest = max(state)
-        found, complete = fillings(state, largest, capacity, width)
+        found, complete, looked = fillings(state, largest, capacity, max(1, min(width, left)))
         whole &= complete
+        left -= looked
         return iter([(largest, *f) for f in found] or [(largest,)])
 
     least = lower_bound(counts, capacity)
     if not counts or least >= best:
-        return None, True
+        return None, True, left
     stack.append((dict(counts), options(counts), 0))
     while stack:
         state, ways, waste = stack[-1]
@@ -272,9 +281,8 @@ def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int,
             if path:
                 path.pop()
             continue
-        left -= 1
-        if left < 0:
-            return answer, False
+        if left <= 0:
+            return answer, False, 0
         lost = waste + capacity - sum(way)
         if lost > (best - 1) * capacity - total:  # more waste than one bin fewer allows; what follows wastes no less
             stack[-1] = (state, iter(()), waste)
@@ -289,7 +297,7 @@ def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int,
             if used < best:
                 best, answer = used, [*path, way]
                 if best == least:
-                    return answer, True
+                    return answer, True, left
             continue
         key = tuple(sorted(after.items()))
         if used + lower_bound(after, capacity) >= best or seen.get(key, best) <= used:
@@ -297,7 +305,7 @@ def complete_bins(counts: dict[int, int], capacity: int, best: int, nodes: int,
         seen[key] = used
         path.append(way)
         stack.append((after, options(after), lost))
-    return answer, whole
+    return answer, whole, left
 
 
 def choose(bins: list[tuple[int, tuple[int, ...]]], capacity: int, size: int, turn: int) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
@@ -318,11 +326,14 @@ def choose(bins: list[tuple[int, tuple[int, ...]]], capacity: int, size: int, tu
     return [(t - f, x) for (t, x), f in zip(order, free, strict=True) if t > f], [(f, x) for (t, x), f in zip(order, free, strict=True) if f]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int = 4000, tail: int = 60, turns: int = 6) -> tuple[list[tuple[int, tuple[int, ...]]], bool]:
+def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int = 4000, tail: int = 60, turns: int = 6, budget: int = 200_000) -> tuple[list[tuple[int, tuple[int, ...]]], bool]:
     """(number of bins, lengths in each) for all pieces of the histogram, and whether no packing has fewer bins."""
     counts = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    bins = min(least_waste(counts, capacity, nodes), best_fit(counts, capacity), key=lambda b: sum(t for t, _ in b))
     least = lower_bound(counts, capacity)
+    bins = best_fit(counts, capacity)
+    for n in (nodes, 10 * nodes):  # the bound is often met by the first
+        if sum(t for t, _ in bins) > least:
+            bins = min(bins, least_waste(counts, capacity, n), key=lambda b: sum(t for t, _ in b))
     better = True
     while better and (n := sum(t for t, _ in bins)) > least:
         better = False
@@ -332,13 +343,16 @@ def pack_histogram(histogram: dict[int, int], capacity: int = 2048, nodes: int =
             for times, filling in freed:
                 for s in filling:
                     again[s] = again.get(s, 0) + times
-            made, whole = complete_bins(again, capacity, sum(t for t, _ in freed), nodes)
+            allowed = budget if not kept else min(budget, nodes)
+            made, whole, left = complete_bins(again, capacity, sum(t for t, _ in freed), allowed)
+            budget -= allowed - left
             if made is not None:
                 bins, better = kept + [(1, b) for b in made], True
             if not kept and whole:
                 return bins, True
-            if better:
+            if better or budget <= 0:
                 break
+        better &= budget > 0
     return bins, sum(t for t, _ in bins) == least
 
 
