@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -421,6 +423,14 @@ def dispatch_feasible(spark, sf_dir):
 # -- files and streams --
 
 
+def read_wide(spark: SparkSession, path: str, minutes: int = 15) -> DataFrame:
+    """series, b, h, p of a delivered wide file."""
+    back = spark.read.csv(path, header=True)
+    long = back.unpivot(["datetime"], [c for c in back.columns if c != "datetime"], "_k", "p")
+    h = (F.regexp_extract("_k", r"(\d+)_pred$", 1).cast("int") / minutes).cast("int")
+    return long.select(F.regexp_extract("_k", r"^(.*)_t\+", 1).alias("series"), F.col("datetime").cast("timestamp_ntz").alias("b"), h.alias("h"), F.col("p").cast("double").alias("p"))
+
+
 @query(f"WITH {GRID}, {AHEAD((1, 8))} SELECT series, b, h, {r('v')} AS p FROM labelled")
 def export_roundtrip(spark, sf_dir):
     """Wide predictions written as CSV that appears at once, and read back as long rows."""
@@ -430,17 +440,17 @@ def export_roundtrip(spark, sf_dir):
     made = export.wide_predictions(member_table(spark, sf_dir, (1, 8), ("persistence",)).select("series", "b", "h", "p"), names, [1, 8])
     path = scratch_path(spark, "export")
     export.write_folder(export.formatted(made), path)
-    back = spark.read.csv(path, header=True)
-    long = back.unpivot(["datetime"], [c for c in back.columns if c != "datetime"], "_k", "p")
-    return long.select(F.regexp_extract("_k", r"^(.*)_t\+", 1).alias("series"), F.col("datetime").cast("timestamp_ntz").alias("b"), (F.regexp_extract("_k", r"(\d+)_pred$", 1).cast("int") / 15).cast("int").alias("h"), F.col("p").cast("double").alias("p"))
+    return read_wide(spark, path)
 
 
-@query(None)
+@query("SELECT * FROM (VALUES ('nation.parquet', 'added'), ('orders.parquet', 'changed'), ('region.parquet', 'missing')) v(name, status)")
 def manifest_verify(spark, sf_dir):
+    """A manifest of four files against files of which one is gone, one is new and one has other bytes than stated."""
     from slotwise.sources import export
 
-    stated = written(export.manifest(spark, f"{sf_dir}/region.parquet"), "manifest")
-    return export.verify_manifest(export.manifest(spark, f"{sf_dir}/region.parquet"), stated)
+    of = lambda *names: reduce(DataFrame.unionByName, [export.manifest(spark, f"{sf_dir}/{n}.parquet") for n in names])
+    stated = of("region", "supplier", "part", "orders").withColumn("sha256", F.when(F.col("name") == "orders.parquet", F.reverse("sha256")).otherwise(F.col("sha256")))
+    return export.verify_manifest(of("nation", "supplier", "part", "orders"), written(stated, "manifest"))
 
 
 @query("SELECT 'sensor' AS series, count(value) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM events")
@@ -507,8 +517,15 @@ def contract_check(spark, sf_dir):
 
 @query(f"{_ALL}, g AS (SELECT series, h, avg(ape) AS m FROM scored WHERE member = 'persistence' GROUP BY 1, 2) SELECT series, h, {r('m')} AS own_mape, {r('round(m, 6)')} AS recorded_mape, true AS agrees FROM g")
 def rescoring(spark, sf_dir):
-    x = member_table(spark, sf_dir, only=("persistence",))
-    return rounded(contracts.rescore(x, rounded(validate.error_by(x, ["series", "h"])), ["series", "h"]))
+    """Errors taken anew from forecasts as delivered, a CSV file with six decimals, against those recorded when they were made."""
+    from slotwise.sources import export
+
+    x = written(member_table(spark, sf_dir, only=("persistence",)), "made")
+    names = sorted(r["series"] for r in x.select("series").distinct().collect())  # a row a series
+    path = scratch_path(spark, "delivered")
+    export.write_folder(export.formatted(export.wide_predictions(x.select("series", "b", "h", "p"), names, list(STEPS))), path)
+    delivered = read_wide(spark, path).join(x.select("series", "b", "h", "y"), ["series", "b", "h"])
+    return rounded(contracts.rescore(delivered, rounded(validate.error_by(x, ["series", "h"])), ["series", "h"]))
 
 
 @query(f"{_ALL}, g AS (SELECT series, h, CAST(b AS DATE) AS cutoff, member, avg(ape) AS e FROM scored WHERE member IN ('persistence', 'ema_4', 'ema_16') GROUP BY 1, 2, 3, 4), o AS (SELECT *, (sum(e) OVER p - e) / nullif(count(e) OVER p - 1, 0) AS others FROM g WINDOW p AS (PARTITION BY series, h, member)), k AS (SELECT *, row_number() OVER (PARTITION BY series, h, cutoff ORDER BY others, member) AS n FROM o) SELECT series, h, cutoff, member, {r('e')} AS left_out_error FROM k WHERE n = 1")
