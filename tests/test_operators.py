@@ -328,3 +328,13 @@ def test_fits_are_kept_and_reused(spark, tmp_path):
     w = spark.createDataFrame([("s", 1, "a", 0.25), ("s", 1, "b", 0.75)], "series string, h int, member string, w double")
     blended = blend.apply_weights(p, w, ["series", "h"])
     assert blend.replayed(blended, p, w, ["series", "h"]).first().agrees and not blend.replayed(blended.withColumn("p", F.col("p") + 1e-6), p, w, ["series", "h"]).first().agrees
+
+
+def test_encodings(spark, tmp_path):
+    for name, data in (("plain", "时间,a\n2024-01-01 00:00:00,1\n".encode()), ("marked", "时间,a\n2024-01-01 00:00:00,1\n".encode("utf-8-sig")), ("wide", "时间,a\n2024-01-01 00:00:00,1\n".encode("gb18030"))):
+        (tmp_path / f"{name}.csv").write_bytes(data)
+        df = tables.read_csv(spark, (tmp_path / f"{name}.csv").as_uri())
+        assert df.columns == ["时间", "a"] and tables.time_column(df.columns) == "时间" and df.first().a == "1"
+    (tmp_path / "bad.csv").write_bytes(b"a\n\xff\xff\n")
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, (tmp_path / "bad.csv").as_uri())
