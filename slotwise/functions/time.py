@@ -40,6 +40,11 @@ def slot_of_day(ts: Column) -> Column:
     return (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15)).cast("int")
 
 
+def day_block(ts: Column, blocks: int) -> Column:
+    """Which of that many equal parts of the day a time is in."""
+    return F.floor((F.hour(ts) * 60 + F.minute(ts)) / (1440 // blocks)).cast("int")
+
+
 def sin_cos(ts: Column, period: str) -> dict[str, Column]:
     """Calendar pairs; Monday is 0."""
     part = {
@@ -60,8 +65,8 @@ def clock_harmonics(ts: Column, count: int = 3) -> dict[str, Column]:
 
 
 def time_of_use_price(ts: Column) -> Column:
-    """Fallback tariff by hour band: peak, valley and flat prices."""
+    """Fallback tariff by hour band: peak from 8 to 11 and from 18 to 21, valley from 23 to 7, flat between; a band's end is not in it."""
     h = F.hour(ts)
-    peak = h.between(8, 11) | h.between(18, 21)
+    peak = h.between(8, 10) | h.between(18, 20)
     valley = (h < 7) | (h >= 23)
     return F.when(peak, F.lit(1.30)).when(valley, F.lit(0.38)).otherwise(F.lit(0.85))

@@ -56,6 +56,44 @@ def check_predictions(df: DataFrame, steps: list[int], expected: int) -> DataFra
     return per.withColumn("passed", ok)
 
 
+def check_frame(df: DataFrame, name: str, raw: list[str] = (), prefix: str | None = None, time: str = "datetime") -> DataFrame:
+    """One row of findings on a delivered wide table: rows, repeated times, cells that are missing or not finite, and columns other than the
+    raw ones whose names lack the prefix. A table without its time column is an error."""
+    if time not in df.columns:
+        raise ValueError(f"{name} has no column {time}")
+    columns = [c for c in df.columns if c != time]
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    bad = sum(((x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))).cast("long") for c in columns), F.lit(0).cast("long"))
+    misnamed = sum(c not in raw and not c.startswith(prefix) for c in columns) if prefix else 0
+    per = df.withColumn("_bad", bad).groupBy(F.col(f"`{time}`").alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_bad").alias("_bad"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    found = per.agg(zero(F.sum("_n")).alias("n_rows"), zero(F.sum(F.col("_n") - 1)).alias("n_repeated"), zero(F.sum("_bad")).alias("n_not_finite"))
+    found = found.select(F.lit(name).alias("name"), "*", F.lit(misnamed).cast("long").alias("n_misnamed"))
+    return found.withColumn("passed", (F.col("n_rows") > 0) & (F.col("n_repeated") + F.col("n_not_finite") + F.col("n_misnamed") == 0))
+
+
+def delivery_points(df: DataFrame, raw: list[str], first: Column, last: Column, fences: DataFrame, time: str = "b", least_features: int = 20, step_us: int = t.STEP_US) -> DataFrame:
+    """Rows check, points, n_faults of a delivered input: unique times (5), the origins from first to last (5), finite values (10), names of
+    features (5), raw columns (15), and outliers repaired with an indicator for each raw column (10). fences has a row a series."""
+    there = [c for c in raw if c in df.columns]
+    features = [c for c in df.columns if c.startswith("feat_")]
+    numbers = [c for c in df.columns if c != time]
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    limits = {r["series"]: (r["fence_low"], r["fence_high"]) for r in fences.collect()}  # a row a raw column
+    bad = sum(((x(c).isNull() | F.isnan(x(c)) | (F.abs(x(c)) == float("inf"))).cast("long") for c in numbers), F.lit(0).cast("long"))
+    out = sum((F.coalesce(~x(c).between(*limits[c]), F.lit(False)).cast("long") for c in there if c in limits), F.lit(0).cast("long"))
+    expected = (t.micros(last) - t.micros(first)) / step_us + 1
+    inside = F.col(time).between(first, last) & ((t.micros(F.col(time)) - t.micros(first)) % step_us == 0)
+    per = df.select(F.col(time), bad.alias("_bad"), out.alias("_out")).groupBy(time).agg(F.count(F.lit(1)).alias("_n"), F.sum("_bad").alias("_bad"), F.sum("_out").alias("_out"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    found = per.agg(zero(F.sum(F.col("_n") - 1)).alias("u"), zero(F.count_if(~inside) + expected - F.count_if(inside)).alias("o"), zero(F.sum("_bad")).alias("b"), zero(F.sum("_out")).alias("x"))
+    named = sum(c not in raw and c not in features for c in numbers) + max(0, least_features + 1 - len(features))
+    marked = max(0, len(raw) - sum(c.endswith("_outlier") for c in features))
+    checks = [("unique times", 5.0, F.col("u")), ("origins", 5.0, F.col("o")), ("finite values", 10.0, F.col("b")), ("feature names", 5.0, F.lit(named)), ("raw columns", 15.0, F.lit(len(raw) - len(there))), ("outliers", 10.0, F.col("x") + marked)]
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.when(n == 0, F.lit(p)).otherwise(F.lit(0.0)).alias("points"), n.cast("long").alias("n_faults")) for k, p, n in checks])
+    return found.select(F.inline(rows))
+
+
 def rescore(predictions: DataFrame, recorded: DataFrame, by: list[str], tolerance: float = 5.1e-7) -> DataFrame:
     """Independent errors beside recorded ones (column mape), and whether they agree."""
     own = validate.error_by(predictions, by, strict=False).select(*by, F.col("mape").alias("own_mape"))

@@ -14,13 +14,13 @@ from slotwise.functions import time as t
 
 @dataclass(frozen=True)
 class Plant:
-    """Units of one gas with one holder."""
+    """Units of either size, fed by a gas with a holder and, where there are any, by gases that can't be stored."""
 
     small_units: int = 4
-    small_range: tuple[float, float] = (30.0, 50.0)  # MW in all of the small units' first step, then steps of a unit
+    small_range: tuple[float, float] = (30.0, 50.0)  # MW of one unit
     large_units: int = 2
     large_range: tuple[float, float] = (72.0, 120.0)
-    gas_per_mwh: float = 1000.0
+    gas_per_mwh: float = 1000.0  # of the stored gas
     capacity: float = 200_000.0
     low: float = 0.15
     high: float = 0.90
@@ -28,15 +28,32 @@ class Plant:
     ramp_cost: float = 2.0
     flare_cost: float = 0.05
     hours: float = 0.25
+    ramp_share: float = 1.5  # most change of a kind's power between steps, as a share of all its units' power
+    others: tuple[tuple[str, float], ...] = ()  # names of gases that can't be stored, and their volume a MWh
 
 
-def surplus_forecast(grid: DataFrame, origin: Column, last: int = 16, history_days: int = 14) -> DataFrame:
-    """Per series the median of the last values, at most the 99th percentile of the last two weeks."""
-    past = grid.where((F.col("b") <= origin) & F.col("raw").isNotNull())
-    order = Window.partitionBy("series").orderBy(F.desc("b"))
-    recent = past.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= last).groupBy("series").agg(F.median("raw").alias("_m"))
-    cap = past.where(F.col("b") > t.shift(origin, -history_days * t.SLOTS_PER_DAY)).groupBy("series").agg(F.percentile("raw", F.lit(0.99)).alias("_q"))
-    return recent.join(cap, "series").select("series", F.least("_m", "_q").alias("surplus"), F.col("_q").alias("cap"))
+def surplus_forecast(grid: DataFrame, origin: Column, holder: dict[str, str] | None = None, last: int = 16, history_days: int = 14) -> DataFrame:
+    """Per series the supply to expect, the median of the last values, and the most that may be burned: the 99th percentile of the last days' use
+    or that supply, if it is more.
+
+    holder names for a series the one that tells its stock, whose change by hour counts as supply. A missing value is the one before it. A
+    deficit, or a series without a value, is an error.
+    """
+    past = grid.where(F.col("b") <= origin)
+    order = Window.partitionBy("series").orderBy("b")
+    held = past.withColumn("_x", F.last("raw", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    available = F.col("_x")
+    if holder:
+        stock = held.where(F.col("series").isin(list(holder.values()))).withColumn("_d", (F.col("_x") - F.lag("_x").over(order)) / 0.25)
+        names = F.create_map(*[F.lit(v) for pair in holder.items() for v in (pair[1], pair[0])])
+        held = held.join(stock.select(names[F.col("series")].alias("series"), "b", "_d"), ["series", "b"], "left")
+        available = F.when(F.col("series").isin(list(holder)), F.col("_x") + F.col("_d")).otherwise(F.col("_x"))
+        held = held.where(~F.col("series").isin(list(holder.values())))
+    ranked = held.withColumn("_a", available).withColumn("_r", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("b"))))
+    found = ranked.where(F.col("_r") <= history_days * t.SLOTS_PER_DAY).groupBy("series").agg(F.median(F.when(F.col("_r") <= last, F.col("_a"))).alias("surplus"), F.percentile("_x", F.lit(0.99)).alias("_q"))
+    ok = F.coalesce(F.col("surplus") >= 0, F.lit(False))
+    found = found.withColumn("surplus", F.when(ok, F.col("surplus")).otherwise(F.raise_error(F.concat(F.col("series"), F.lit(": no supply that could be relied on"))).cast("double")))
+    return found.select("series", "surplus", F.greatest("surplus", "_q").alias("cap"))
 
 
 def price_table(prices: DataFrame) -> DataFrame:
@@ -58,104 +75,148 @@ def check_stock(df: DataFrame, stock: str, plant: Plant) -> DataFrame:
     return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("initial stock is outside the safe band")).cast("boolean")))
 
 
-def power_levels(plant: Plant, steps: int = 5) -> np.ndarray:
-    """Feasible total powers: a few in the range of each number of running units of either kind."""
-    levels = {0.0}
-    for a in range(plant.small_units + 1):
-        for b in range(plant.large_units + 1):
-            lo = a * plant.small_range[0] + b * plant.large_range[0]
-            hi = a * plant.small_range[1] + b * plant.large_range[1]
-            levels |= set(np.round(np.linspace(lo, hi, steps if a + b else 1), 6))
-    return np.array(sorted(levels))
+def power_levels(units: int, one: tuple[float, float], steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one kind of unit, a few in the range of each number of running ones, and the fewest units that give each."""
+    found = {0.0: 0}
+    for n in range(units, 0, -1):
+        found |= {float(x): n for x in np.round(np.linspace(n * one[0], n * one[1], steps if one[1] > one[0] else 1), 6)}
+    powers = np.array(sorted(found))
+    return powers, np.array([found[x] for x in powers])
 
 
-def units_on(power: np.ndarray, plant: Plant) -> np.ndarray:
-    """Fewest units that can give a power."""
-    best = np.full(len(power), 99)
-    for a in range(plant.small_units + 1):
-        for b in range(plant.large_units + 1):
-            lo, hi = a * plant.small_range[0] + b * plant.large_range[0], a * plant.small_range[1] + b * plant.large_range[1]
-            best = np.where((power >= lo - 1e-9) & (power <= hi + 1e-9), np.minimum(best, a + b), best)
-    return best
+def burn_unstored(power: np.ndarray, others: np.ndarray, plant: Plant) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Volumes of each gas that can't be stored (supply and most use by step: others, 2 x gases) burned for each power, what of them is
+    flared, and the power left for the stored gas. Gases of more volume a MWh go first, so that least is flared."""
+    left, used = power.astype(float).copy(), np.zeros((others.shape[1], len(power)))
+    for g in sorted(range(others.shape[1]), key=lambda g: -plant.others[g][1]):
+        per = plant.others[g][1] * plant.hours
+        used[g] = np.minimum(left * per, others[:, g].min())
+        left = np.maximum(left - used[g] / per, 0.0)
+    return used, np.maximum(others[0][:, None] - used, 0.0).sum(axis=0), np.where(left < 1e-9, 0.0, left)
 
 
-def solve(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cells: int = 241) -> dict[str, np.ndarray | float]:
-    """A verified feasible plan of greatest value on a grid of stocks, and an upper bound on any plan's value.
+def relaxed_burn(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cap: np.ndarray) -> np.ndarray:
+    """Stored gas burned by step, at most cap, that earns most where any power can be run and flaring is free; the holder's band and the end stock hold.
 
-    Dynamic program over (stock cell, power level). Stock rounds down to a cell, so a plan found is feasible for
-    the exact stock. The bound relaxes commitment, ramps and starts: each step's gas earns the best price.
+    What can be burned is what flows through the holder, so taking as much as possible at the best price, then at the next, is the optimum.
+    """
+    n, low, high = len(inflow), plant.low * plant.capacity, plant.high * plant.capacity
+    burned = np.zeros(n)
+    for i in np.argsort(-price, kind="stable"):
+        level, held, lost = stock, np.zeros(n), np.zeros(n)
+        for k in range(n):
+            level += inflow[k] - burned[k]
+            lost[k] = max(level - high, 0.0)
+            level -= lost[k]
+            held[k] = level
+        room = held[n - 1] - max(stock, low)
+        for k in range(n - 2, i - 1, -1):
+            room = min(held[k] - low, lost[k + 1] + room)
+        burned[i] = min(max(room + lost[i], 0.0), cap[i])
+    return burned
+
+
+def solve(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cells: int = 241, cap: np.ndarray | None = None, others: np.ndarray | None = None) -> dict[str, np.ndarray | float]:
+    """A feasible plan of greatest value on a grid of stocks, and an upper bound on any plan's value.
+
+    Dynamic program over (stock cell, powers of both kinds of unit). Stock rounds down to a cell, so a plan found is feasible for the exact
+    stock. cap: most of the stored gas that may be burned by step; others: supply and cap of each gas that can't be stored (2 x steps x
+    gases), burned before the stored one. The bound relaxes commitment, ramps, starts and flaring (see relaxed_burn).
     """
-    levels = power_levels(plant)
-    on = units_on(levels, plant)
+    (small, n_small), (large, n_large) = power_levels(plant.small_units, plant.small_range), power_levels(plant.large_units, plant.large_range)
+    pair = np.array([(i, j) for i in range(len(small)) for j in range(len(large))])
+    a, b = small[pair[:, 0]], large[pair[:, 1]]
+    on_a, on_b, levels = n_small[pair[:, 0]], n_large[pair[:, 1]], a + b
     n, m = len(inflow), len(levels)
+    cap = np.full(n, np.inf) if cap is None else cap
+    others = np.zeros((2, n, len(plant.others))) if others is None else others
     grid = np.linspace(plant.low * plant.capacity, plant.high * plant.capacity, cells)
     width = grid[1] - grid[0]
-    burn = levels * plant.gas_per_mwh * plant.hours
-    change = plant.ramp_cost * np.abs(levels[:, None] - levels[None, :]) + plant.start_cost * np.maximum(on[None, :] - on[:, None], 0)
-    value = np.full((n + 1, cells, m), -np.inf)  # best value from step i on, last level before it
+    rise = lambda x: np.maximum(x[None, :] - x[:, None], 0)
+    move_a, move_b = np.abs(a[:, None] - a[None, :]), np.abs(b[:, None] - b[None, :])
+    change = plant.ramp_cost * (move_a + move_b) + plant.start_cost * (rise(on_a) + rise(on_b))
+    most_a, most_b = (plant.ramp_share * k * r[1] + 1e-9 for k, r in ((plant.small_units, plant.small_range), (plant.large_units, plant.large_range)))
+    change = np.where((move_a <= most_a) & (move_b <= most_b), change, np.inf)
+    steps = [burn_unstored(levels, others[:, i], plant) for i in range(n)]
+    burn = np.array([left * plant.gas_per_mwh * plant.hours for _, _, left in steps])
+    value = np.full((n + 1, cells, m), -np.inf)  # best value from step i on, last powers before it
     choice = np.zeros((n, cells, m), np.int16)
     start_cell = int(np.floor((stock - grid[0]) / width + 1e-9))
     value[n, start_cell:, :] = 0.0  # end stock at least the initial one
+    cell_of = lambda s: np.floor((np.minimum(s, grid[-1]) - grid[0]) / width + 1e-9).astype(int)
     for i in range(n - 1, -1, -1):
-        after = grid[:, None] + inflow[i] - burn[None, :]
-        flared = np.maximum(after - grid[-1], 0)
-        to = np.floor((np.minimum(after, grid[-1]) - grid[0]) / width + 1e-9).astype(int)
-        ok = to >= 0
-        to = np.maximum(to, 0)
+        after = grid[:, None] + inflow[i] - burn[i][None, :]
+        flared = np.maximum(after - grid[-1], 0) + steps[i][1][None, :]
+        to = cell_of(after)
+        ok = (to >= 0) & (burn[i] <= cap[i] + 1e-6)[None, :]
         gain = price[i] * levels[None, :] * plant.hours * 1000 - plant.flare_cost * flared
-        future = np.where(ok, gain + value[i + 1, to, np.arange(m)[None, :]], -np.inf)  # cells x level
+        future = np.where(ok, gain + value[i + 1, np.maximum(to, 0), np.arange(m)[None, :]], -np.inf)  # cells x powers
         if i:
-            total = future[:, None, :] - change[None, :, :]
-            choice[i] = total.argmax(axis=2)
-            value[i] = np.take_along_axis(total, choice[i][:, :, None].astype(int), 2)[:, :, 0]
+            for last in range(m):  # one column of the table at a time: memory stays cells x powers
+                total = future - change[last][None, :]
+                choice[i, :, last] = total.argmax(axis=1)
+                value[i, :, last] = total.max(axis=1)
         else:  # the first step has no ramp or start cost
             choice[i] = future.argmax(axis=1)[:, None]
             value[i] = future.max(axis=1)[:, None]
     if not np.isfinite(value[0, start_cell, 0]):
         raise ValueError("no feasible plan")
-    power, stocks, flare = np.zeros(n), np.zeros(n), np.zeros(n)
+    at, stocks, flare = np.zeros(n, int), np.zeros(n), np.zeros(n)
     cell, level, exact = start_cell, 0, stock
     for i in range(n):
         level = int(choice[i, cell, level])
-        exact = exact + inflow[i] - burn[level]
+        exact = exact + inflow[i] - burn[i][level]
         flare[i] = max(0.0, exact - grid[-1])
         exact -= flare[i]
-        power[i], stocks[i] = levels[level], exact
-        cell = int(np.floor((grid[cell] + inflow[i] - burn[level] - grid[0]) / width + 1e-9))
-        cell = min(cell, cells - 1)
-    gas = stock - plant.low * plant.capacity + inflow.sum()
-    order = np.argsort(-price)
-    bound, left = 0.0, max(gas, 0.0)
-    for i in order:
-        use = min(left, levels[-1] * plant.gas_per_mwh * plant.hours)
-        bound += price[i] * use / plant.gas_per_mwh * 1000
-        left -= use
-    return {"power": power, "stock": stocks, "flare": flare, "value": float(value[0, start_cell, 0]), "bound": float(bound)}
+        at[i], stocks[i] = level, exact
+        cell = int(cell_of(np.array([grid[cell] + inflow[i] - burn[i][level]]))[0])
+    used = np.array([steps[i][0][:, at[i]] for i in range(n)]).reshape(n, -1)
+    free = np.array([sum(others[:, i, g].min() / (per * plant.hours) for g, (_, per) in enumerate(plant.others)) for i in range(n)])
+    stored = relaxed_burn(inflow, price, stock, plant, np.minimum(np.maximum(levels.max() - free, 0.0) * plant.gas_per_mwh * plant.hours, cap))
+    bound = float((price * (np.minimum(free, levels.max()) * plant.hours + stored / plant.gas_per_mwh) * 1000).sum())
+    return {"power": levels[at], "power_small": a[at], "power_large": b[at], "stock": stocks, "flare": flare, "burned": burn[np.arange(n), at], "others": used, "value": float(value[0, start_cell, 0]), "bound": bound}
 
 
 def plan(steps: DataFrame, plant: Plant, stock_share: float = 0.5) -> DataFrame:
-    """steps(plan, step, b, inflow, price) to rows with power, stock, flare, value and bound; one plan is one day and one task's work."""
-    schema = "plan string, step int, b timestamp_ntz, inflow double, price double, power double, stock double, flare double, value double, bound double"
+    """steps(plan, step, b, inflow, price) to rows with powers, stock, flare, value and bound; one plan is one day and one task's work.
+
+    Volumes are those of a step. Columns read where they are there: cap, the most of the stored gas; and for each other gas of the plant
+    <gas>_inflow and <gas>_cap, which give a column <gas>_burned.
+    """
+    names = [g for g, _ in plant.others]
+    given = ["cap", *[f"{g}_{k}" for g in names for k in ("inflow", "cap")]]
+    given = [c for c in given if c in steps.columns]
+    out = ["power", "power_small", "power_large", "burned", "stock", "flare"]
+    kept = ["plan", "step", "b", "inflow", "price", *given]
+    schema = "plan string, step int, b timestamp_ntz, " + ", ".join(f"`{c}` double" for c in [*kept[3:], *out, *[f"{g}_burned" for g in names], "value", "bound"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
-        found = solve(pdf["inflow"].to_numpy(float), pdf["price"].to_numpy(float), stock_share * plant.capacity, plant)
-        return pdf.assign(**{k: found[k] for k in ("power", "stock", "flare", "value", "bound")})[["plan", "step", "b", "inflow", "price", "power", "stock", "flare", "value", "bound"]]
+        column = lambda c, default: pdf[c].to_numpy(float) if c in pdf else np.full(len(pdf), default)
+        others = np.array([[column(f"{g}_inflow", 0.0) for g in names], [column(f"{g}_cap", np.inf) for g in names]]).reshape(2, len(names), len(pdf)).transpose(0, 2, 1)
+        found = solve(column("inflow", 0.0), column("price", 0.0), stock_share * plant.capacity, plant, cap=column("cap", np.inf), others=others)
+        made = {c: found[c] for c in out} | {f"{g}_burned": found["others"][:, i] for i, g in enumerate(names)}
+        return pdf.assign(**made, value=found["value"], bound=found["bound"])[[*kept, *made, "value", "bound"]]
 
-    return steps.select("plan", "step", "b", "inflow", "price").groupBy("plan").applyInPandas(run, schema)
+    return steps.select(*kept).groupBy("plan").applyInPandas(run, schema)
 
 
 def mass_balance(planned: DataFrame, plant: Plant, stock_share: float = 0.5) -> DataFrame:
-    """Largest violations of a plan: balance of the holder, its band, the end stock, and powers no set of units can give."""
+    """Largest violations of a plan, told from its columns alone: balance of the holder and of power, its band, the end stock, gas burned
+    beyond what there is, and steps whose powers or changes of power no units can give."""
     w = Window.partitionBy("plan").orderBy("step")
     before = F.coalesce(F.lag("stock").over(w), F.lit(stock_share * plant.capacity))
-    off = F.abs(before + F.col("inflow") - F.col("power") * plant.gas_per_mwh * plant.hours - F.col("flare") - F.col("stock"))
-    allowed = F.lit(False)
-    for a in range(plant.small_units + 1):
-        for b in range(plant.large_units + 1):
-            allowed = allowed | F.col("power").between(a * plant.small_range[0] + b * plant.large_range[0] - 1e-6, a * plant.small_range[1] + b * plant.large_range[1] + 1e-6)
-    band = F.greatest(plant.low * plant.capacity - F.col("stock"), F.col("stock") - plant.high * plant.capacity, F.lit(0.0))
-    x = planned.withColumns({"_off": off, "_band": band, "_bad": (~allowed).cast("int")})
+    off = F.abs(before + F.col("inflow") - F.col("burned") - F.col("flare") - F.col("stock"))
+    made = sum((F.col(f"{g}_burned") / (per * plant.hours) for g, per in plant.others), F.col("burned") / (plant.gas_per_mwh * plant.hours))
+    over = [F.col("burned") - F.col("cap")] if "cap" in planned.columns else []
+    over += [F.col(f"{g}_burned") - F.least(*[f"{g}_{k}" for k in ("inflow", "cap") if f"{g}_{k}" in planned.columns], F.lit(float("inf"))) for g, _ in plant.others]
+    allowed, moved = F.lit(True), F.lit(True)
+    for c, units, one in (("power_small", plant.small_units, plant.small_range), ("power_large", plant.large_units, plant.large_range)):
+        allowed = allowed & F.greatest(*[F.col(c).between(k * one[0] - 1e-6, k * one[1] + 1e-6) for k in range(units + 1)], F.lit(False))
+        moved = moved & (F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)), F.lit(0.0)) <= plant.ramp_share * units * one[1] + 1e-6)
+    band = F.greatest(plant.low * plant.capacity - F.col("stock"), F.col("stock") - plant.high * plant.capacity, F.lit(0.0), *over)
+    off = F.greatest(off, F.abs(made - F.col("power")), F.abs(F.col("power_small") + F.col("power_large") - F.col("power")))
+    x = planned.withColumns({"_off": off, "_band": band, "_bad": (~(allowed & moved)).cast("int")})
     return x.groupBy("plan").agg(F.max("_off").alias("balance_error"), F.max("_band").alias("band_error"), F.greatest(F.lit(stock_share * plant.capacity) - F.max_by("stock", "step"), F.lit(0.0)).alias("end_error"), F.sum("_bad").alias("n_infeasible"))
 
 

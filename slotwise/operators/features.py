@@ -130,6 +130,51 @@ def balance(wide: DataFrame, production: list[str], users: list[str], holder: st
     return out.withColumns({"demand_share": share, "holder_ratio": level / capacity, "margin_up": capacity - level, "margin_down": level, "holder_missing": level.isNull().cast("double")})
 
 
+def gas_balance(wide: DataFrame, groups: dict[str, dict[str, list[str]]], mixed_users: list[str], capacity: float, heating: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Per gas its supply, the demand of users that come first with their part of the mixed gas, what is left, its share of the mixed gas
+    and its stock; totals, energies by lower heating value, and the stock's ratio, margins and changes.
+
+    groups names each gas's columns by role (production, user, mixed_in, holder); a missing value counts as zero in a sum. A gas's share is
+    carried on over slots without mixed flow, and is an equal part before any. by: columns that part the rows of one slot (plants, say).
+    """
+    c = lambda name: F.col(f"`{name}`")
+    total = lambda names: sum((F.coalesce(c(n), F.lit(0.0)) for n in names), F.lit(0.0))
+    order = Window.partitionBy(*by).orderBy("b")  # one row a slot
+    mixed = {g: total(roles.get("mixed_in", [])) for g, roles in groups.items()}
+    flow = sum(mixed.values(), F.lit(0.0))
+    carried = {g: F.last(m / F.nullif(flow, F.lit(0.0)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for g, m in mixed.items()}
+    out = wide.withColumns({f"{g}_mixed_share": F.least(F.greatest(F.coalesce(s, F.lit(1.0 / len(groups))), F.lit(0.0)), F.lit(1.0)) for g, s in carried.items()})
+    demand = {g: total(roles.get("user", [])) + total(mixed_users) * c(f"{g}_mixed_share") for g, roles in groups.items()}
+    out = out.withColumns({f"{g}_{k}": v for g, roles in groups.items() for k, v in (("supply", total(roles.get("production", []))), ("priority_demand", demand[g]), ("stock", total(roles.get("holder", []))))})
+    every = lambda kind, by_heat=False: sum((c(f"{g}_{kind}") * (heating[g] if by_heat else 1.0) for g in groups), F.lit(0.0))
+    out = out.withColumns({f"{g}_available": c(f"{g}_supply") - c(f"{g}_priority_demand") for g in groups})
+    out = out.withColumns({"supply_total": every("supply"), "priority_demand_total": every("priority_demand"), "energy_supply": every("supply", True), "energy_demand": every("priority_demand", True), "stock_total": every("stock")})
+    s = F.col("stock_total")
+    change = lambda n: F.coalesce(s - F.lag(s, n).over(order), F.lit(0.0))
+    return out.withColumns(
+        {
+            "available_total": F.col("supply_total") - F.col("priority_demand_total"),
+            "energy_available": F.col("energy_supply") - F.col("energy_demand"),
+            "stock_ratio": F.least(F.greatest(s / capacity, F.lit(0.0)), F.lit(2.0)),
+            "stock_margin_low": s - 0.15 * capacity,
+            "stock_margin_high": 0.90 * capacity - s,
+            "stock_change_1": change(1),
+            "stock_change_4": change(4),
+        }
+    )
+
+
+def power_ratios(wide: DataFrame, gases: list[str], total: str, part: str) -> DataFrame:
+    """Gas burned by unit of power, and a group's share of the power; powers below 1 count as 1, a missing one gives NULL."""
+    power = F.when(F.col(f"`{total}`").isNotNull(), F.greatest(F.col(f"`{total}`"), F.lit(1.0)))
+    return wide.withColumns({f"{g}_per_power": F.col(f"`{g}`") / power for g in gases} | {"group_power_ratio": F.col(f"`{part}`") / power})
+
+
+def unit_clock(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Sines and cosines moved to [0, 1]."""
+    return df.withColumns({c: (F.col(c) + 1) * 0.5 for c in columns})
+
+
 def energy(wide: DataFrame, heating: dict[str, float], out: str = "energy") -> DataFrame:
     """Sum of volumes by lower heating value."""
     return wide.withColumn(out, sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) * x for c, x in heating.items()), F.lit(0.0)))

@@ -93,6 +93,19 @@ def coalesce_columns(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.col(a), F.col(b)))
 
 
+def join_sources(sources: list[DataFrame], key: str = "b") -> DataFrame:
+    """Full outer join of wide sources on the key in one shuffle; of a column that several have, the first source's value that is there.
+
+    Each source has one row a key (see collapse_duplicates); more than one give any of their values.
+    """
+    tagged = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
+    every = tagged[0]
+    for s in tagged[1:]:
+        every = every.unionByName(s, allowMissingColumns=True)
+    names = [c for c in every.columns if c not in (key, "_source")]
+    return every.groupBy(key).agg(*[F.min_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("_source"))).alias(c) for c in names])
+
+
 def daily_mean(grid: DataFrame, value: str = "raw") -> DataFrame:
     """Left-closed days, days without values left out."""
     return grid.groupBy("series", F.to_date("b").alias("day")).agg(F.avg(value).alias("mean")).where("mean is not null")

@@ -53,6 +53,11 @@ def seasonal_blend(ahead: DataFrame, grid: DataFrame, weights: tuple[float, floa
     return _rows(x, name, weights[0] * day + weights[1] * F.coalesce(F.col("_week"), day) + weights[2] * F.col("_recent"))
 
 
+def seasonal_future(ahead: DataFrame, grid: DataFrame) -> DataFrame:
+    """The blend for slots beyond the data: .75 of the day before, .15 of the week before, .10 of the recent median, not below zero."""
+    return seasonal_blend(ahead, grid, (0.75, 0.15, 0.10), "seasonal_future").withColumn("p", F.greatest(F.col("p"), F.lit(0.0)))
+
+
 def _median_of_past(n: int) -> Column:
     a = F.sort_array(F.collect_list("v").over(features.previous(n)))
     k = F.size(a)
@@ -326,3 +331,10 @@ def nonnegative_fit(sums: list[float], k: int) -> list[float]:
                 least, best = loss, np.zeros(k)
                 best[on] = np.maximum(b, 0)
     return best.tolist()
+
+
+def efficiency(sums: list[float], defaults: list[float], least: int = 64, reach: float = 20.0) -> list[float]:
+    """Power by unit of each gas: the non-negative fit, each within a twentieth and twenty times its default; the defaults where rows are few."""
+    if sums[0] < least:
+        return list(defaults)
+    return [min(max(b, d / reach), d * reach) for b, d in zip(nonnegative_fit(sums, len(defaults)), defaults)]

@@ -33,10 +33,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], n_b
     return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
 
 
-def bounds(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Per group [0, max(q99.9, q3 + 6 IQR, 1)], with exact quantiles."""
+def bounds(df: DataFrame, by: str, value: str, caps: dict[str, float] | None = None) -> DataFrame:
+    """Per group [0, max(q99.9, q3 + 6 IQR, 1)], with exact quantiles; caps name groups whose upper bound is known."""
+    known = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col(by)] if caps else F.lit(None).cast("double")
     q = quantiles(df, [by], value, [0.25, 0.75, 0.999]).withColumnRenamed("quantiles", "_q")
-    return q.select(by, F.lit(0.0).alias("low"), F.greatest(F.col("_q")[2], F.col("_q")[1] + 6 * (F.col("_q")[1] - F.col("_q")[0]), F.lit(1.0)).alias("high"))
+    return q.select(by, F.lit(0.0).alias("low"), F.coalesce(known, F.greatest(F.col("_q")[2], F.col("_q")[1] + 6 * (F.col("_q")[1] - F.col("_q")[0]), F.lit(1.0))).alias("high"))
 
 
 def outside_to_null(df: DataFrame, dim: DataFrame, by: str, value: str) -> DataFrame:
@@ -51,6 +52,27 @@ def tukey_fence(df: DataFrame, by: list[str], value: str, width: float = 1.5) ->
     return q.select(*by, F.when(iqr > 0, F.col("_q")[0] - width * iqr).otherwise(F.col("_q")[1]).alias("fence_low"), F.when(iqr > 0, F.col("_q")[2] + width * iqr).otherwise(F.col("_q")[1]).alias("fence_high"), F.col("_q")[1].alias("middle"))
 
 
+def inward(fences: DataFrame) -> DataFrame:
+    """Fences one single-precision step inwards, so that values written as singles stay inside; fences that would cross are their upper value."""
+    single = lambda c: F.col(c).cast("float")
+    step = lambda way, c: F.java_method(F.lit("java.lang.Math"), F.lit(way), single(c)).cast("float").cast("double")
+    low, high, flat = step("nextUp", "fence_low"), step("nextDown", "fence_high"), single("fence_high").cast("double")
+    return fences.withColumns({"fence_low": F.when(high > low, low).otherwise(flat), "fence_high": F.when(high > low, high).otherwise(flat)})
+
+
+def valid(y: Column, base: Column, cap: Column | float) -> Column:
+    """Whether a label can be learned from: finite, above zero, at most the cap, with a base to compare with."""
+    cap = cap if isinstance(cap, Column) else F.lit(cap)
+    return F.coalesce(~F.isnan(y) & (y > 0) & (y <= cap) & (y < float("inf")) & base.isNotNull() & ~F.isnan(base), F.lit(False))
+
+
+def regime_window(df: DataFrame, breaks: DataFrame, by: str, at: str, least: int = 288) -> DataFrame:
+    """Rows from their group's break on (breaks: by, break_day; a row a group), of groups with at least that many rows there."""
+    since = df.join(F.broadcast(breaks.select(by, "break_day")), by).where(F.col(at) >= F.col("break_day").cast("timestamp_ntz")).drop("break_day")
+    long = since.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(by)
+    return since.join(F.broadcast(long), by, "left_semi")
+
+
 def repair(df: DataFrame, overall: DataFrame, recent: DataFrame, by: list[str], value: str) -> DataFrame:
     """value clipped to the union of two fences, median where missing, and whether it was changed."""
     both = overall.join(recent.withColumnsRenamed({"fence_low": "_l", "fence_high": "_h", "middle": "_m"}), by, "left")
@@ -128,6 +150,19 @@ def quantile_knots(df: DataFrame, by: str, value: str, count: int) -> DataFrame:
     return quantiles(df, [by], value, [i / (count - 1) for i in range(count)]).withColumnRenamed("quantiles", "knots")
 
 
+def quantile_position(df: DataFrame, knots: DataFrame, by: str, value: str, out: str = "quantile") -> DataFrame:
+    """Position of value among its group's knots in [0, 1]: linear between them, the middle of equal knots, 0 at the least and 1 at the greatest."""
+    joined = df.join(F.broadcast(knots), by, "left")  # a row a group
+    x, n = F.col(value), F.size("knots")
+    below = F.size(F.filter("knots", lambda y: y < x))
+    upto = F.size(F.filter("knots", lambda y: y <= x))
+    lo, hi = F.get("knots", below - 1), F.get("knots", below)
+    between = below - 1 + (x - lo) / F.nullif(hi - lo, F.lit(0.0))
+    middle = (below + upto - 1) / 2
+    at = F.when(x <= F.get("knots", F.lit(0)), F.lit(0.0)).when(x >= F.get("knots", n - 1), F.lit(1.0)).otherwise(F.when(upto > below, middle).otherwise(between) / (n - 1))
+    return joined.withColumn(out, F.when(x.isNotNull(), at)).drop("knots")
+
+
 def quantile_transform(df: DataFrame, knots: DataFrame, by: str, value: str, out: str = "quantile") -> DataFrame:
     """Position of value among its group's knots, linear between them, in [0, 1]."""
     joined = df.join(F.broadcast(knots), by, "left")

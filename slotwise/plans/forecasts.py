@@ -376,14 +376,19 @@ def tariff_revenue(spark, sf_dir):
     return rounded(x.groupBy("series").agg(F.sum(F.col("v") * F.col("price")).alias("revenue"), (F.sum("v") * F.avg("price")).alias("flat_revenue")), 4)
 
 
-@query(f"WITH {GRID} SELECT b, CASE WHEN hour(b) BETWEEN 8 AND 11 OR hour(b) BETWEEN 18 AND 21 THEN 1.30 WHEN hour(b) < 7 OR hour(b) >= 23 THEN 0.38 ELSE 0.85 END::DOUBLE AS price FROM slots")
+@query(f"WITH {GRID} SELECT b, CASE WHEN hour(b) IN (8, 9, 10, 18, 19, 20) THEN 1.30 WHEN hour(b) < 7 OR hour(b) >= 23 THEN 0.38 ELSE 0.85 END::DOUBLE AS price FROM slots")
 def time_of_use(spark, sf_dir):
     return panel(spark, sf_dir).select("b").distinct().withColumn("price", t.time_of_use_price(F.col("b")))
 
 
-@query(f"WITH {GRID}, p AS (SELECT series, raw, b, row_number() OVER (PARTITION BY series ORDER BY b DESC) AS n FROM panel WHERE raw IS NOT NULL AND b <= TIMESTAMP '{CUTOFF}'), m AS (SELECT series, median(raw) AS m FROM p WHERE n <= 16 GROUP BY 1), q AS (SELECT series, quantile_cont(raw, 0.99) AS q FROM p WHERE b > TIMESTAMP '{CUTOFF}' - INTERVAL 14 DAY GROUP BY 1) SELECT m.series, {r('least(m, q)')} AS surplus, {r('q')} AS cap FROM m JOIN q ON q.series = m.series")
+_SIGNUP = "lead(x) OVER (PARTITION BY series ORDER BY b DESC)"
+
+
+@query(f"WITH {GRID}, p AS (SELECT series, b, CASE WHEN series = 'signup' THEN 0.01 * v ELSE v END AS x FROM panel WHERE b <= TIMESTAMP '{CUTOFF}'), s AS (SELECT b, (x - {_SIGNUP}) / 0.25 AS d FROM p WHERE series = 'signup'), a AS (SELECT p.series, x, CASE WHEN p.series = 'click' THEN x + d ELSE x END AS a, row_number() OVER (PARTITION BY p.series ORDER BY p.b DESC) AS n FROM p JOIN s ON s.b = p.b WHERE p.series <> 'signup'), g AS (SELECT series, median(a) FILTER (n <= 16) AS m, quantile_cont(x, 0.99) FILTER (n <= 1344) AS q FROM a GROUP BY 1) SELECT series, {r('m')} AS surplus, {r('greatest(m, q)')} AS cap FROM g")
 def surplus_forecast(spark, sf_dir):
-    return rounded(dispatch.surplus_forecast(panel(spark, sf_dir), at(CUTOFF)))
+    """'signup' stands for the stock of the holder of 'click'."""
+    x = panel(spark, sf_dir).withColumn("raw", F.when(F.col("series") == "signup", 0.01 * F.col("raw")).otherwise(F.col("raw")))
+    return rounded(dispatch.surplus_forecast(x, at(CUTOFF), {"click": "signup"}))
 
 
 def _steps(spark, sf_dir) -> DataFrame:

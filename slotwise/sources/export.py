@@ -35,6 +35,11 @@ def wide_predictions(predictions: DataFrame, targets: list[str], steps: list[int
     return predictions.where(F.col("h").isin(steps)).withColumn("_k", key).groupBy(F.col("b").alias("datetime")).pivot("_k", names).agg(F.first("p")).orderBy("datetime")
 
 
+def split_results(predictions: DataFrame, targets: list[str], short: list[int], long: list[int], minutes: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The wide tables of the short and of the long horizons."""
+    return wide_predictions(predictions, targets, short, minutes), wide_predictions(predictions, targets, long, minutes)
+
+
 def write_folder(df: DataFrame, path: str, kind: str = "csv") -> None:
     """Written beside the target and renamed, so that readers see all of it or nothing; an existing target is an error."""
     spark = df.sparkSession
@@ -109,6 +114,19 @@ def cached(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bank_document(predictions: DataFrame, path: str, minutes: int = 15) -> None:
+    """Member predictions as one gzip JSON document, as tables.read_bank_document reads it: origins, and per member the values of each
+    target and step in their order. A document is one row of one task, so a bank is as small as members x targets x steps x origins are."""
+    key = F.concat(F.col("series"), F.lit("_t+"), (F.col("h") * minutes).cast("string"), F.lit("_pred"))
+    origins = predictions.select("b").distinct().agg(F.sort_array(F.collect_list("b")).alias("_o"))
+    cells = predictions.groupBy("member", key.alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("b", "p"))).alias("_v"))
+    aligned = cells.join(F.broadcast(origins)).select("member", "_k", F.transform("_o", lambda o: F.col("_v")[o]).alias("_v"))  # one row on the right
+    each = aligned.groupBy("member").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))
+    members = each.agg(F.map_from_entries(F.collect_list(F.struct("member", "_m"))).alias("members"))
+    times = F.transform("_o", lambda o: F.date_format(o, "yyyy-MM-dd HH:mm:ss")).alias("origins")
+    members.join(F.broadcast(origins)).select(F.to_json(F.struct(times, "members"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path, compression="gzip")
+
+
 def write_bank(predictions: DataFrame, path: str) -> None:
     """Member predictions as gzip JSON lines, as tables.read_bank reads them."""
     predictions.select("series", "b", "h", "member", "p").write.json(path, compression="gzip")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import time as t
+from slotwise.sources import workbook
 
-#: Accepted encodings, file prefixes and names of time columns, in order of preference.
-ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
+ENCODINGS = workbook.ENCODINGS
+#: File prefixes and names of time columns.
 PREFIXES = ("", "Pre_", "Pre_test_")
 TIME_NAMES = ("datetime", "timestamp", "time", "date", "时间", "日期", "datatime", "collecttime", "recordtime")
 
@@ -69,9 +70,8 @@ def discover(spark: SparkSession, folder: str, names: Iterable[str] = ("gas", "g
 
 
 def time_column(columns: list[str]) -> str:
-    """The column whose normalised name is a time name, else the first."""
-    plain = {re.sub(r"[\s_\-]+", "", c).lower(): c for c in reversed(columns)}
-    return next((plain[n] for n in TIME_NAMES if n in plain), columns[0])
+    """The first column whose name, without case and punctuation, is a time name, else the first of all."""
+    return next((c for c in columns if re.sub(r"[\W_]+", "", c).lower() in TIME_NAMES), columns[0])
 
 
 def parse_time(df: DataFrame, column: str, out: str = "ts") -> DataFrame:
@@ -120,11 +120,15 @@ def sensor_roles(names: DataFrame, name: str = "series") -> DataFrame:
 
 
 def read_tariff(spark: SparkSession, path: str) -> DataFrame:
-    """Rows month, step, price from CSV or Parquet: columns month, price (steps in file order are not relied on: a step column is needed), or one column for each month."""
-    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
+    """Rows month, step, price (see dispatch.price_table) of a tariff: Parquet with these columns or with step and a column a month; else the
+    tables of a workbook, or of the CSV files there, as workbook.monthly_prices reads them."""
+    if not path.rstrip("/").endswith(".parquet"):
+        prices = workbook.monthly_prices(workbook.read_tables(spark, path))
+        return spark.createDataFrame([(m, i, x) for m, values in sorted(prices.items()) for i, x in enumerate(values)], "month int, step int, price double")
+    df = spark.read.parquet(path)
     if {"month", "step", "price"} <= set(df.columns):
         return df.select(F.col("month").cast("int"), F.col("step").cast("int"), F.col("price").cast("double"))
-    months = {c: int(m[1]) for c in df.columns if (m := re.fullmatch(r"(\d{1,2})月?", c.strip()))}
+    months = {c: m for c in df.columns if (m := workbook.month_of(c))}
     if not months or "step" not in df.columns:
         raise ValueError("a tariff needs month, step and price, or step and a column for each month")
     long = df.unpivot(["step"], list(months), "_c", "price")
@@ -142,6 +146,15 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("series string, b timestamp_ntz, h int, member string, p double").json(path)
 
 
+def read_bank_document(spark: SparkSession, path: str, minutes: int = 15) -> DataFrame:
+    """Member predictions from JSON documents, gzip or not, that hold the origins and per member the values of each <target>_t+<minutes>_pred."""
+    kind = "origins array<string>, members map<string, map<string, array<double>>>"
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d")).select("d.origins", F.explode("d.members").alias("member", "_m"))
+    d = d.select("origins", "member", F.explode("_m").alias("_k", "_v")).select("member", "_k", F.explode(F.arrays_zip(F.col("origins").alias("o"), F.col("_v").alias("p"))).alias("x"))
+    h = (F.regexp_extract("_k", r"(\d+)_pred$", 1).cast("int") / minutes).cast("int")
+    return d.select(F.regexp_extract("_k", r"^(.*)_t\+", 1).alias("series"), F.to_timestamp_ntz(F.col("x")["o"]).alias("b"), h.alias("h"), "member", F.col("x")["p"].alias("p"))
+
+
 def find_dataset(spark: SparkSession, root: str, name: str = "Pre_load.csv") -> str:
     """The only folder below root that holds a file of this name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path").collect()

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from slotwise.plans import backtests, catalogue, forecasts  # noqa: F401
+from slotwise.plans import backtests, catalogue, forecasts, plant  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
