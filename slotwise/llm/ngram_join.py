@@ -15,7 +15,8 @@ the start (64-bit hash of the set), whose keys one document emits. Keys that two
 candidates, without making pairs of all who share one: first every node is checked against the most
 connected node of each key; then, in keys whose nodes aren't yet one component, only nodes outside the
 component of that key's centre meet the others, and only if parities of element counts in 256 buckets
-allow enough overlap. Each candidate is verified on the words of both whole texts, not on hashes. Links
+allow enough overlap; a key with more than `block_rows` nodes on a side is dealt by node to cells of that
+size, each its own group of the join. Each candidate is verified on the words of both whole texts, not on hashes. Links
 inside a component that is known already are not looked for: the result is components, and n_links
 counts the links that were found and verified, which may be fewer than there are.
 
@@ -230,7 +231,7 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, percent: int = 90, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, percent: int = 90, broadcast_ids: int = 1_000_000, block_rows: int = 1000) -> DataFrame:
     """Rows doc_id, n_shingles, component_id and n_links (verified links of the document's set)."""
     if not 50 < percent < 100:
         raise ValueError("percent must be above 50 and below 100")
@@ -269,12 +270,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     centre_labels = centres.join(labels.withColumnRenamed("node", "centre"), "centre", "left").select("key", F.coalesce("label", "centre").alias("_centre"))
     outside = placed.join(centre_labels, "key").where("label <> _centre").select("key", "node", "label")
-    mixed = outside.select("key").distinct()
+    # a key's meetings are dealt to cells of at most about block_rows nodes a side, so that no task meets a hot key alone
+    blocks_of = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    n_outside = outside.groupBy("key").agg(F.count(F.lit(1)).alias("_l"))
+    cells = n_outside.join(sizes, "key").select("key", blocks_of("_l").alias("_rows"), blocks_of("_size").alias("_columns"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sketched = nodes.select("node", "n", *SKETCH)
-    left = outside.join(sketched, "node").select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "label", "n", *SKETCH)])
-    right = placed.join(mixed, "key").join(sketched, "node").select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "label", "n", *SKETCH)])
+    fields = ("node", "label", "n", *SKETCH)
+    left = outside.join(cells, "key").join(sketched, "node").select(F.col("key").alias("l_key"), own("_rows").alias("l_row"), every("_columns").alias("l_column"), *[F.col(c).alias(f"l_{c}") for c in fields])
+    right = placed.join(cells, "key").join(sketched, "node").select(F.col("key").alias("r_key"), every("_rows").alias("r_row"), own("_columns").alias("r_column"), *[F.col(c).alias(f"r_{c}") for c in fields])
     apart = sum(F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in SKETCH)
-    meet = left.join(right, (left["key"] == right["key"]) & (F.col("l_label") != F.col("r_label")) & (apart * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)) & (F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * percent))
+    meet = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_row") == F.col("r_row")) & (F.col("l_column") == F.col("r_column")) & (F.col("l_label") != F.col("r_label")) & (apart * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)) & (F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * percent))
     more = meet.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
     linked = written(linked.union(verified(more, texts, width, percent)), "all-links")
     labels = components(linked, "all-labels")

@@ -59,6 +59,21 @@ def test_jaccard_components(spark):
     assert len({c for *_, c in got}) < len(texts) - 20
 
 
+@pytest.mark.parametrize("block_rows", [1, 2, 1000])
+def test_jaccard_hot_keys_in_cells(spark, block_rows):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(40):  # many keys of many nodes, and several components beside the centre's
+        w = base[:]
+        for k in rnd.sample(range(300), rnd.choice([1, 2, 3, 4, 5])):
+            w[k] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df, block_rows=block_rows).collect())
+    assert got == list(enumerate(brute_components(shingle_sets(texts))))
+
+
 def test_pipeline_links_five_words_at_four_fifths(spark):
     rnd = random.Random(9)
     texts = ["", "one two three", "One two three", "a b c d e", "a b c d f"]
