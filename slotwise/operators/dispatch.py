@@ -116,28 +116,57 @@ def relaxed_burn(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Pla
     return burned
 
 
+def least_flare(inflow: np.ndarray, stock: float, plant: Plant, cap: np.ndarray, others: np.ndarray, most_power: float) -> float:
+    """Volume that every plan flares: each gas is burned up to its own limits as if it had all power, so the stock is never higher than need be."""
+    low, high, flared, level = plant.low * plant.capacity, plant.high * plant.capacity, 0.0, stock
+    for x, most in zip(inflow, np.minimum(cap, most_power * plant.gas_per_mwh * plant.hours)):
+        level += x - min(max(level + x - low, 0.0), most)
+        flared += max(level - high, 0.0)
+        level = min(level, high)
+    for g, (_, per) in enumerate(plant.others):
+        flared += np.maximum(others[0][:, g] - np.minimum(others[1][:, g], most_power * per * plant.hours), 0.0).sum()
+    return float(flared)
+
+
 def solve(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cells: int = 241, cap: np.ndarray | None = None, others: np.ndarray | None = None) -> dict[str, np.ndarray | float]:
     """A feasible plan of greatest value on a grid of stocks, and an upper bound on any plan's value.
 
     Dynamic program over (stock cell, powers of both kinds of unit). Stock rounds down to a cell, so a plan found is feasible for the exact
     stock. cap: most of the stored gas that may be burned by step; others: supply and cap of each gas that can't be stored (2 x steps x
-    gases), burned before the stored one. The bound relaxes commitment, ramps, starts and flaring (see relaxed_burn).
+    gases), burned before the stored one. Where these limits allow less than all power, each number of running units can also give just
+    that. The bound relaxes commitment, ramps and starts, and takes off only what no plan can avoid to flare (see relaxed_burn,
+    least_flare). The value is what the plan itself earns, not its cells.
     """
     (small, n_small), (large, n_large) = power_levels(plant.small_units, plant.small_range), power_levels(plant.large_units, plant.large_range)
     pair = np.array([(i, j) for i in range(len(small)) for j in range(len(large))])
-    a, b = small[pair[:, 0]], large[pair[:, 1]]
-    on_a, on_b, levels = n_small[pair[:, 0]], n_large[pair[:, 1]], a + b
-    n, m = len(inflow), len(levels)
+    n, on_a, on_b = len(inflow), n_small[pair[:, 0]], n_large[pair[:, 1]]
+    a, b = np.tile(small[pair[:, 0]], (n, 1)), np.tile(large[pair[:, 1]], (n, 1))  # powers by step
+    most_power = small.max() + large.max()
     cap = np.full(n, np.inf) if cap is None else cap
     others = np.zeros((2, n, len(plant.others))) if others is None else others
+    free = np.array([sum(others[:, i, g].min() / (per * plant.hours) for g, (_, per) in enumerate(plant.others)) for i in range(n)])
+    allowed = free + cap / (plant.gas_per_mwh * plant.hours)
+    if (allowed < most_power).any():
+        run_a, run_b = (x.ravel() for x in np.meshgrid(np.arange(plant.small_units + 1), np.arange(plant.large_units + 1)))
+        (least_a, top_a), (least_b, top_b) = ((run * one[0], run * one[1]) for run, one in ((run_a, plant.small_range), (run_b, plant.large_range)))
+        total = np.clip(allowed[:, None], least_a + least_b, top_a + top_b)
+        part = np.clip(total - least_a, least_b, top_b)
+        a, b = np.hstack([a, total - part]), np.hstack([b, part])
+        on_a, on_b = np.append(on_a, run_a), np.append(on_b, run_b)
+    levels = a + b
+    m = levels.shape[1]
     grid = np.linspace(plant.low * plant.capacity, plant.high * plant.capacity, cells)
     width = grid[1] - grid[0]
     rise = lambda x: np.maximum(x[None, :] - x[:, None], 0)
-    move_a, move_b = np.abs(a[:, None] - a[None, :]), np.abs(b[:, None] - b[None, :])
-    change = plant.ramp_cost * (move_a + move_b) + plant.start_cost * (rise(on_a) + rise(on_b))
+    start = plant.start_cost * (rise(on_a) + rise(on_b))
     most_a, most_b = (plant.ramp_share * k * r[1] + 1e-9 for k, r in ((plant.small_units, plant.small_range), (plant.large_units, plant.large_range)))
-    change = np.where((move_a <= most_a) & (move_b <= most_b), change, np.inf)
-    steps = [burn_unstored(levels, others[:, i], plant) for i in range(n)]
+
+    def change(i: int) -> np.ndarray:
+        """Cost of going from each power of the step before to each of step i."""
+        move_a, move_b = np.abs(a[i - 1][:, None] - a[i][None, :]), np.abs(b[i - 1][:, None] - b[i][None, :])
+        return np.where((move_a <= most_a) & (move_b <= most_b), plant.ramp_cost * (move_a + move_b) + start, np.inf)
+
+    steps = [burn_unstored(levels[i], others[:, i], plant) for i in range(n)]
     burn = np.array([left * plant.gas_per_mwh * plant.hours for _, _, left in steps])
     value = np.full((n + 1, cells, m), -np.inf)  # best value from step i on, last powers before it
     choice = np.zeros((n, cells, m), np.int16)
@@ -149,11 +178,12 @@ def solve(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cel
         flared = np.maximum(after - grid[-1], 0) + steps[i][1][None, :]
         to = cell_of(after)
         ok = (to >= 0) & (burn[i] <= cap[i] + 1e-6)[None, :]
-        gain = price[i] * levels[None, :] * plant.hours * 1000 - plant.flare_cost * flared
+        gain = price[i] * levels[i][None, :] * plant.hours * 1000 - plant.flare_cost * flared
         future = np.where(ok, gain + value[i + 1, np.maximum(to, 0), np.arange(m)[None, :]], -np.inf)  # cells x powers
         if i:
+            moving = change(i)
             for last in range(m):  # one column of the table at a time: memory stays cells x powers
-                total = future - change[last][None, :]
+                total = future - moving[last][None, :]
                 choice[i, :, last] = total.argmax(axis=1)
                 value[i, :, last] = total.max(axis=1)
         else:  # the first step has no ramp or start cost
@@ -170,11 +200,15 @@ def solve(inflow: np.ndarray, price: np.ndarray, stock: float, plant: Plant, cel
         exact -= flare[i]
         at[i], stocks[i] = level, exact
         cell = int(cell_of(np.array([grid[cell] + inflow[i] - burn[i][level]]))[0])
+    k = np.arange(n)
     used = np.array([steps[i][0][:, at[i]] for i in range(n)]).reshape(n, -1)
-    free = np.array([sum(others[:, i, g].min() / (per * plant.hours) for g, (_, per) in enumerate(plant.others)) for i in range(n)])
-    stored = relaxed_burn(inflow, price, stock, plant, np.minimum(np.maximum(levels.max() - free, 0.0) * plant.gas_per_mwh * plant.hours, cap))
-    bound = float((price * (np.minimum(free, levels.max()) * plant.hours + stored / plant.gas_per_mwh) * 1000).sum())
-    return {"power": levels[at], "power_small": a[at], "power_large": b[at], "stock": stocks, "flare": flare, "burned": burn[np.arange(n), at], "others": used, "value": float(value[0, start_cell, 0]), "bound": bound}
+    lost = flare + np.array([steps[i][1][at[i]] for i in range(n)])
+    moved = sum(change(i)[at[i - 1], at[i]] for i in range(1, n))
+    earned = float((price * levels[k, at] * plant.hours * 1000 - plant.flare_cost * lost).sum() - moved)
+    stored = relaxed_burn(inflow, price, stock, plant, np.minimum(np.maximum(most_power - free, 0.0) * plant.gas_per_mwh * plant.hours, cap))
+    unavoidable = plant.flare_cost * least_flare(inflow, stock, plant, cap, others, most_power)
+    bound = float((price * (np.minimum(free, most_power) * plant.hours + stored / plant.gas_per_mwh) * 1000).sum()) - unavoidable
+    return {"power": levels[k, at], "power_small": a[k, at], "power_large": b[k, at], "stock": stocks, "flare": flare, "burned": burn[k, at], "others": used, "value": earned, "bound": bound}
 
 
 def plan(steps: DataFrame, plant: Plant, stock_share: float = 0.5) -> DataFrame:

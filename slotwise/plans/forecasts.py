@@ -412,7 +412,7 @@ def dispatch_audit(spark, sf_dir):
     done = written(dispatch.plan(x, plant), "plans")
     flat = x.withColumn("price", F.avg("price").over(Window.partitionBy("plan")))
     flat = dispatch.plan(flat, plant).drop("price").join(x.select("plan", "step", "price"), ["plan", "step"])
-    gap = done.groupBy("plan").agg(((F.first("bound") - F.first("value")) / F.first("bound")).alias("gap"))
+    gap = done.groupBy("plan").agg(((F.first("bound") - F.first("value")) / F.abs(F.first("bound"))).alias("gap"))
     found = dispatch.mass_balance(done, plant).join(dispatch.revenue(done, plant), "plan").join(gap, "plan")
     return found.join(dispatch.revenue(flat, plant).withColumnRenamed("revenue", "flat_revenue"), "plan")
 

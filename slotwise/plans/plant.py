@@ -291,7 +291,7 @@ def three_gas_plan(spark, sf_dir):
     ship_package(spark)
     x, plant = _three_gases(spark, sf_dir)
     done = written(dispatch.plan(x, plant), "plans")
-    gap = done.groupBy("plan").agg((F.first("value") >= 0.99 * F.first("bound")).alias("near_bound"))
+    gap = done.groupBy("plan").agg((F.first("bound") - F.first("value") <= 0.01 * F.abs(F.first("bound"))).alias("near_bound"))
     near = lambda c: F.when(F.col(c) > 1e-4, F.col(c)).otherwise(F.lit(0.0)).alias(c)
     found = dispatch.mass_balance(done, plant).join(gap, "plan")
     return found.select(F.split("plan", " ")[0].alias("series"), F.split("plan", " ")[1].alias("day"), near("balance_error"), near("band_error"), near("end_error"), "n_infeasible", "near_bound")

@@ -42,6 +42,21 @@ def test_plan_with_unstored_gases_and_ramps(spark):
     assert found.balance_error > 1 and found.band_error > 1 and found.n_infeasible > 0
 
 
+@pytest.mark.parametrize("volume", [20.0, 2_100.0, 21_000.0])
+def test_plan_is_near_its_bound_however_much_gas_comes(volume):
+    """Beyond what the limits allow gas must be flared: the bound knows, and the plan burns all that is allowed."""
+    one = dispatch.Plant(start_cost=30.0, ramp_cost=0.25, flare_cost=0.2, others=(("coke", 180.0), ("converter", 450.0)))
+    price = np.repeat([0.38, 1.3, 0.85, 1.3], 6)
+    v = volume * (1 + np.arange(24) % 5 / 5)
+    others = np.array([[1_500 + 5 * v, 2_000 + 5 * v], [np.full(24, 4_000.0), np.full(24, 3_000.0)]]).transpose(0, 2, 1)
+    inflow = 20_000 + 40 * v
+    got = dispatch.solve(inflow, price, 100_000.0, one, cap=np.full(24, 70_000.0), others=others)
+    assert -1e-6 <= got["bound"] - got["value"] <= 0.01 * abs(got["bound"])
+    moved = sum(0.25 * np.abs(np.diff(got[c])).sum() for c in ("power_small", "power_large"))
+    flared = got["flare"].sum() + (others[0].T - got["others"].T).sum()
+    assert got["value"] <= (price * got["power"] * 250).sum() - 0.2 * flared - moved + 1e-6
+
+
 def test_deficit_is_an_error(spark):
     rows = [(s, b, v) for i, b in enumerate(slots(20)) for s, v in (("gas", 5.0), ("holder", 1000.0 - 10 * i))]
     x = spark.createDataFrame(rows, "series string, b timestamp_ntz, raw double")
