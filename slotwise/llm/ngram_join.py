@@ -14,8 +14,8 @@ The text is read once: sizes, sketches and keys are written and read again. Equa
 the start (64-bit hash of the set), whose keys one document emits. Keys that two nodes share make
 candidates, without making pairs of all who share one: first every node is checked against the most
 connected node of each key; then, in keys whose nodes aren't yet one component, only nodes outside the
-component of that key's centre meet the others, and only if parities of element counts in 256 buckets
-allow enough overlap; a key with more than `block_rows` nodes on a side is dealt by node to cells of that
+component of that key's centre meet the others, and only if parities of element counts in buckets, 256 and for
+sets of more elements at least as many buckets as elements, allow enough overlap; a key with more than `block_rows` nodes on a side is dealt by node to cells of that
 size, each its own group of the join. Each candidate is verified on the words of both whole texts, not on hashes. Links
 inside a component that is known already are not looked for: the result is components, and n_links
 counts the links that were found and verified, which may be fewer than there are.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,7 @@ from slotwise.session import ship_package, written
 
 _LOWER = LOWER.tobytes()
 SKETCH = [f"s{i}" for i in range(4)]
+_COARSE = 256  # buckets of SKETCH; beyond so many elements parities in so few no longer tell sets apart
 _BAND_GROWTH = 2.0
 _CHANCE_COST = 400.0  # keys that a meeting of empty segments costs; each further element makes meetings rarer by
 _CHANCE_FALL = 0.05
@@ -118,6 +119,18 @@ def set_features(found: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndar
     return sizes, hashes.view(np.int64), sketch
 
 
+def fine_sketches(found: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in the least power of two of buckets that is no less than the set, for sets of more than _COARSE elements: words of all rows,
+    row by row, and the number of words of each row. A sketch of half the buckets is the xor of its halves."""
+    buckets = np.where(sizes > _COARSE, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    start = np.cumsum(buckets) - buckets
+    mine = buckets[row] > 0
+    of = row[mine]
+    place = start[of] + (found[mine] & (buckets[of] - 1).astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(place, minlength=int(buckets.sum())) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64), buckets // 64
+
+
 def set_keys(found: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all rows of a block, row by row, and the number of keys of each row."""
     largest = int(sizes.max()) if len(sizes) else 0
@@ -167,9 +180,9 @@ _NODE = [T.StructField("n", _LONG), T.StructField("node", _LONG), *[T.StructFiel
 
 
 def document_sets(df: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
-    """Rows doc_id, n, node (hash of the set; null for empty ones), sketch columns, keys (none for sets too small to differ from a linked one)."""
+    """Rows doc_id, n, node (hash of the set; null for empty ones), sketch columns, fine (sketch of a large set), keys (none for sets too small to differ from a linked one)."""
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    schema = T.StructType([source.schema["doc_id"], *_NODE, T.StructField("keys", T.ArrayType(_LONG))])
+    schema = T.StructType([source.schema["doc_id"], *_NODE, T.StructField("fine", T.ArrayType(_LONG)), T.StructField("keys", T.ArrayType(_LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +190,9 @@ def document_sets(df: DataFrame, text: str, doc_id: str, width: int, percent: in
                 found, row = block_sets(data, offsets, width)
                 sizes, hashes, sketch = set_features(found, row, hi - lo)
                 keys, counts = set_keys(found, row, sizes, percent)
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x)) for x, k in (fine_sketches(found, row, sizes), (keys, counts))]
                 node = pa.array(hashes, mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes), node, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)], listed], names=schema.names)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array(sizes), node, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4)], *lists], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -262,8 +275,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     texts = whole.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "t")
     texts = written(_matching(texts, width), "texts")
 
+    # large sets are told apart by sketches of their own size; one row of each node has it
+    fine = docs.where(F.size("fine") > 0).select("doc_id", "node", "fine").join(F.broadcast(wanted) if few else wanted, ["doc_id", "node"])
+    fine = written(fine.select("node", "fine").dropDuplicates(["node"]), "fine")
+    sketched = nodes.select("node", "n", *SKETCH).join(fine, "node", "left")
+
     star = members.join(centres, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    linked = written(verified(_possible(star, nodes, percent), texts, width, percent), "links")
+    linked = written(verified(_possible(star, sketched, percent), texts, width, percent), "links")
     labels = components(linked)
 
     # nodes outside the component of their key's centre meet the other components of that key
@@ -276,12 +294,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     cells = n_outside.join(sizes, "key").select("key", blocks_of("_l").alias("_rows"), blocks_of("_size").alias("_columns"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sketched = nodes.select("node", "n", *SKETCH)
-    fields = ("node", "label", "n", *SKETCH)
+    fields = ("node", "label", "n", *SKETCH, "fine")
     left = outside.join(cells, "key").join(sketched, "node").select(F.col("key").alias("l_key"), own("_rows").alias("l_row"), every("_columns").alias("l_column"), *[F.col(c).alias(f"l_{c}") for c in fields])
     right = placed.join(cells, "key").join(sketched, "node").select(F.col("key").alias("r_key"), every("_rows").alias("r_row"), own("_columns").alias("r_column"), *[F.col(c).alias(f"r_{c}") for c in fields])
-    apart = sum(F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in SKETCH)
-    meet = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_row") == F.col("r_row")) & (F.col("l_column") == F.col("r_column")) & (F.col("l_label") != F.col("r_label")) & (apart * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)) & (F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * percent))
+    meet = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_row") == F.col("r_row")) & (F.col("l_column") == F.col("r_column")) & (F.col("l_label") != F.col("r_label")) & _alike("l", "r", percent))
     more = meet.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
     linked = written(linked.union(verified(more, texts, width, percent)), "all-links")
     labels = components(linked, "all-labels")
@@ -291,16 +307,28 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     classed = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = classed.groupBy("label").agg(F.min("first").alias("component_id"))
     classed = classed.join(smallest, "label").join(links, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = docs.drop("keys").join(classed, "node", "left")
+    out = docs.drop("fine", "keys").join(classed, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _alike(p: str, q: str, percent: int) -> Column:
+    """Whether sizes and sketches of two nodes, in columns with prefixes p and q, allow the similarity. Buckets of unlike parity are no more
+    than the elements in which the sets differ, so no link is lost."""
+    n, k, x, y = (F.col(c) for c in (f"{p}_n", f"{q}_n", f"{p}_fine", f"{q}_fine"))
+    allowed = lambda apart: apart * (100 + percent) <= (n + k) * (100 - percent)
+    coarse = sum(F.bit_count(F.col(f"{p}_{s}").bitwiseXOR(F.col(f"{q}_{s}"))) for s in SKETCH)
+    half = lambda z: F.zip_with(F.slice(z, F.lit(1), (F.size(z) / 2).cast("int")), F.slice(z, (F.size(z) / 2).cast("int") + 1, (F.size(z) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    # sizes differ by less than twice, so buckets by twice at most
+    to_size = lambda z, other: F.when(F.size(z) > F.size(other), half(z)).otherwise(z)
+    fine = F.aggregate(F.zip_with(to_size(x, y), to_size(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, c: total + c)
+    near = F.least(n, k) * 100 >= F.greatest(n, k) * percent
+    return near & allowed(coarse) & F.when((F.size(x) > 0) & (F.size(y) > 0), allowed(fine)).otherwise(F.lit(True))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", *SKETCH)])
-    apart = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where((apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)).select("a", "b")
+    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", *SKETCH, "fine")])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b", percent)).select("a", "b")
 
 
 def _matching(texts: DataFrame, width: int) -> DataFrame:

@@ -416,3 +416,41 @@ def test_scanner_is_linear():
         for j, y in enumerate(q, 1):
             row[j] = max(before[j], row[j - 1], before[j - 1] + 2 + (x == y))
     assert wrapper.Alignment(wrapper.parse(long), wrapper.parse(other)).weight == 1 + row[-1]
+
+
+def test_long_texts_with_a_common_half_are_told_apart_by_sketches(spark, monkeypatch):
+    """Each pair shares some keys but no link; before sketches as large as the sets, all 276 pairs were compared word by word."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    common = [word() for _ in range(1_000)]
+    texts = [" ".join(common + [word() for _ in range(500 + 20 * i)]) for i in range(24)]
+    near = texts[23].split()
+    near[700:702] = ["x", "y"]
+    df = spark.createDataFrame([*enumerate(texts), (24, " ".join(near)), (25, None)], "doc_id long, text string")
+    compared = []
+    verified = ngram_join.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, width=5, percent=80).collect()}
+    assert got == {i: 23 if i == 24 else i for i in range(26)}
+    assert sum(compared) <= 10
+
+
+def test_fine_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, common = int(rng.integers(257, 1_500)), rng.integers(0, 1 << 62, 1_500).astype(np.uint64)
+        sets = [np.unique(np.concatenate([common[:n], rng.integers(0, 1 << 62, int(rng.integers(0, 250))).astype(np.uint64)])) for _ in range(2)]
+        found, row = np.concatenate(sets), np.repeat([0, 1], [len(x) for x in sets])
+        words, counts = ngram_join.fine_sketches(found, row, np.bincount(row))
+        a, b = np.split(words, [counts[0]])
+        halves = lambda z, k: z if len(z) <= k else z[: len(z) // 2] ^ z[len(z) // 2 :]
+        a, b = halves(a, len(b)), halves(b, len(a))
+        assert len(a) == len(b)
+        differ = len(np.setxor1d(*sets))
+        apart = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+        assert apart <= differ and (apart - differ) % 2 == 0 and apart >= 0.4 * differ
