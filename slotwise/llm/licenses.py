@@ -72,6 +72,7 @@ TRIGGERS = ("licens", "permission", "redistribut", "public domain", "free softwa
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SAME = 0.95  # cosine from which a notice is all licence
 
 
 class Matcher:
@@ -104,7 +105,7 @@ class Matcher:
         return scores[i] / math.sqrt(square), self.names[i]
 
     def scan(self, text: str | None) -> tuple[float, str | None, int]:
-        """Best cosine over the notices of a whole text, its name, and the words of the notice."""
+        """Best cosine over the notices of a whole text, its name, and the words of the notice or of a longer one that is all that licence."""
         lower = (text or "").lower()
         if not any(t in lower for t in self.triggers):
             return 0.0, None, 0
@@ -125,12 +126,12 @@ class Matcher:
             while a < len(hit) and hit[a] <= hi:
                 a += 1
         notices[text] = None
-        score, name, notice = 0.0, None, ""
-        for n in notices:
-            s, m = self.best(n)
-            if s > score:
-                score, name, notice = s, m, n
-        return score, name, len(notice.split())
+        scored = [(*self.best(n), len(n.split())) for n in notices]
+        score, name, words = max(scored, key=lambda x: x[0])
+        if not score:
+            return 0.0, None, 0
+        # a paragraph can be a closer match than the licence's whole text with the holder's name in it
+        return score, name, max([words, *(w for s, m, w in scored if m == name and s >= _SAME)])
 
 
 def scan_notices(df: DataFrame, text: str = "text", keep: list[str] | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.75) -> DataFrame:
@@ -166,6 +167,8 @@ def inherit(files: DataFrame, file_coverage: float = 0.5, broadcast_rows: int =
     depth = F.explode(F.sequence(F.lit(0), F.size(F.split("directory", "/"))))
     up = places.select("directory", depth.alias("_depth")).withColumn("_ancestor", F.expr("array_join(slice(split(directory, '/'), 1, _depth), '/')"))
     nearest = up.join(speaks, "_ancestor").groupBy("directory").agg(F.max(F.struct("_depth", "_ancestor", "_licence")).alias(nearest_))
+    # a directory can hold most of the files, which then don't meet in one task
+    nearest = F.broadcast(nearest) if nearest.limit(broadcast_rows + 1).count() <= broadcast_rows else nearest
     out = f.join(nearest, "directory", "left")
     own = F.col("licence").isNotNull()
     return out.select(

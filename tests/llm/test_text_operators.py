@@ -136,6 +136,17 @@ def test_licences(spark):
     assert all(any(k in t.lower() for k in licenses.TRIGGERS) or n == "ISC" for n, t in licenses.TEMPLATES)
 
 
+def test_licences_of_sources(spark, tmp_path):
+    bsd = [t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause"][-1]
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][-1].replace("MIT License.", "MIT License\n\nCopyright (c) 2020 The Authors\n\n").replace("conditions: The", "conditions:\n\nThe")
+    short = "Was orer.\nThis work is licensed under the GNU General Public License, version 3."
+    rows = [(1, mit, "a"), (2, "nothing", "a"), (3, "some words\nand more of them\nLicensed under CC BY-NC 4.0.", "a"), (4, short, "b"), (5, "nothing", "b"), (6, None, "c"), (7, bsd, "c"), (8, "nothing", None), (9, None, "a/sub"), (10, bsd, None), (11, bsd, "")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.effective_licence, r.inherited_from, r.method) for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
+    none = (None, None, "none")
+    assert got == {1: ("MIT", None, "file"), 2: ("MIT", "a", "inherited"), 3: ("CC-BY-NC-4.0", None, "notice"), 4: ("GPL-3.0", None, "notice"), 5: none, 6: ("BSD-3-Clause", "c", "inherited"), 7: ("BSD-3-Clause", None, "file"), 8: none, 9: ("MIT", "a", "inherited"), 10: ("BSD-3-Clause", None, "file"), 11: ("BSD-3-Clause", None, "file")}
+
+
 def test_licences_of_standard_texts():
     m = licenses.Matcher(licenses.TEMPLATES)
     folder = pathlib.Path("/usr/share/common-licenses")
